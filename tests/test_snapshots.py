@@ -1,0 +1,116 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from oncemore.operators.fold import fold
+from oncemore.plans import snapshots
+from oncemore.schemas import SNAPSHOTS
+from oncemore.sinks.tables import read_metrics, read_snapshots, reset_metrics, write_metrics
+from tests.helpers import DELIVERY, METRIC, metrics_with_latencies, rows
+
+
+def at(second):
+    return F.timestamp_seconds(F.lit(second))
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    two = metrics_with_latencies(spark, [10, 20]).unionByName(metrics_with_latencies(spark, [7], "b"))
+    three = two.unionByName(metrics_with_latencies(spark, [36]).withColumn("msg_id", F.lit(9).cast("long")))
+    snapshots.create_snapshot(spark, two, path, "phase one", at(100))
+    snapshots.create_snapshot(spark, three, path, "phase two", at(200))
+    return read_snapshots(spark, path)
+
+
+def test_ids_continue_and_columns_match(spark, table):
+    assert table.schema.names == SNAPSHOTS.names
+    got = {(r.id, r.job_type, r.note) for r in table.collect()}
+    assert got == {(1, "a", "phase one"), (2, "b", "phase one"), (3, "a", "phase two"), (4, "b", "phase two")}
+
+
+def test_values(table):
+    first = table.where("id = 1").first()
+    assert (first.total_messages, first.avg_latency, first.p50_latency) == (2, Decimal("15.00"), Decimal("10.00"))
+    assert first.stddev_latency == Decimal("5.00")
+    assert (first.data_range_start, first.data_range_end, first.time_window_sec) == (0, 20, 0)
+    lone = table.where("id = 2").first()
+    assert lone.p50_latency is None and lone.throughput_per_sec is None
+
+
+def test_create_returns_the_newest_summary(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    metrics = metrics_with_latencies(spark, [1, 2, 3])
+    snapshots.create_snapshot(spark, metrics, path, "old", at(5))
+    got = snapshots.create_snapshot(spark, metrics.where("msg_id > 0"), path, "new", at(6)).collect()
+    assert [(r.job_type, r.total_messages) for r in got] == [("a", 2)]
+
+
+def test_default_time_has_whole_seconds(spark):
+    row = snapshots.snapshot_rows(metrics_with_latencies(spark, [1]), "now").first()
+    assert row.snapshot_time.microsecond == 0
+
+
+def test_history(table):
+    assert [r.id for r in snapshots.snapshot_history(table).collect()] == [4, 3, 2, 1]
+    assert [r.id for r in snapshots.snapshot_history(table, limit=3, note_contains="one").collect()] == [2, 1]
+    assert len(snapshots.snapshot_history(table).columns) == 14
+
+
+def test_compare(table):
+    got = snapshots.compare_snapshots(table, 1, 3).collect()
+    assert len(got) == 1
+    assert got[0].total_messages_change == 1
+    assert got[0].avg_latency_change == Decimal("7.00")
+    assert len(got[0]) == 16
+    assert snapshots.compare_snapshots(table, 1, 4).collect() == []
+
+
+def test_average(table):
+    got = snapshots.avg_stats(table, "a", 5).first()
+    assert (got.snapshots, got.avg_latency_ms) == (2, 18.5)
+    assert (got.last_snapshot - got.first_snapshot) == dt.timedelta(seconds=100)
+    assert snapshots.avg_stats(table, "a", 1).first().avg_latency_ms == 22.0
+    none = snapshots.avg_stats(table, "nobody", 5).collect()
+    assert len(none) == 1 and (none[0].snapshots, none[0].avg_latency_ms) == (0, None)
+
+
+def test_counts(table):
+    assert sorted(rows(snapshots.snapshot_counts(table))) == [("a", 2), ("b", 2)]
+
+
+def test_series_equals_single_snapshots(spark):
+    # Redeliveries within and across intervals, one message redelivered from the
+    # very start, and a job that begins late.
+    data = [("a", i, 1000 + i * 37, 1010 + i * 40 + i % 7) for i in range(60)]
+    data += [("a", i, 1000 + i * 37, 1500 + i * 55) for i in range(0, 60, 4)]
+    data += [("a", 0, 1000, 1400), ("a", 0, 1000, 3900), ("b", 1, 2500, 2600), ("b", 1, 2500, 2650)]
+    log = spark.createDataFrame(data, DELIVERY)
+    start, width, duration = 1000, 1, 4
+    series = snapshots.snapshot_series(log, start, width, duration).drop("id", "note").collect()
+    want = []
+    for cut in range(duration):
+        time = start + cut * 1000
+        so_far = fold(log.where(F.col("out_time") <= time))
+        one = snapshots.snapshot_rows(so_far, "", F.timestamp_millis(F.lit(time))).drop("id", "note")
+        want += one.collect()
+    assert sorted(map(tuple, series), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_series_takes_as_many_snapshots_as_the_monitor(spark):
+    log = spark.createDataFrame([("a", 1, 0, 0)], DELIVERY)
+    assert snapshots.snapshot_series(log, 0, 60, 600).count() == 10
+    assert snapshots.snapshot_series(log, 0, 60, 630).count() == 11
+
+
+def test_metrics_table(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    metrics = spark.createDataFrame([("a", 1, 0, 5, 5, 1), ("007", 2, 0, 5, 5, 3)], METRIC)
+    write_metrics(metrics, path)
+    assert sorted(rows(read_metrics(spark, path))) == sorted(rows(metrics))
+    one = read_metrics(spark, path).where("job_type = 'a'")
+    assert "PartitionFilters: [isnotnull(job_type" in one._jdf.queryExecution().executedPlan().toString()
+    reset_metrics(spark, path)
+    assert read_metrics(spark, path).count() == 0

@@ -112,18 +112,16 @@ def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _enriched_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = eventlog.message_topic(_events(spark, sf_dir))
     out = msg.enrich(topic, "spark", at=F.col("out_time"))
-    return out.select("offset", *_fields_of_enriched())
+    return _fields_of_enriched(out, "offset")
 
 
-def _fields_of_enriched() -> list:
-    return [
-        F.get_json_object("value", "$.msg_id").alias("msg_id"),
-        F.get_json_object("value", "$.create_time").alias("create_time"),
-        F.get_json_object("value", "$.payload").alias("payload"),
-        F.get_json_object("value", "$.props.k").alias("k"),
-        F.get_json_object("value", "$.process_time").alias("process_time"),
-        F.get_json_object("value", "$.processor").alias("processor"),
-    ]
+def _fields_of_enriched(messages: DataFrame, *keep: str) -> DataFrame:
+    schema = (
+        "msg_id STRING, create_time STRING, payload STRING, props STRUCT<k: STRING>, "
+        "process_time STRING, processor STRING"
+    )
+    fields = messages.select(*keep, F.inline_outer(F.array(F.from_json("value", schema))))
+    return fields.withColumn("k", F.col("props.k")).drop("props")
 
 
 def _message_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +195,7 @@ def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.start_enrich_to_files(
         topic, "spark", path, shared_dir(spark, "checkpoint"), every=None, at=F.col("out_time")
     ).awaitTermination()
-    return spark.read.text(path).select(*_fields_of_enriched())
+    return _fields_of_enriched(spark.read.text(path))
 
 
 def _stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 A message is a JSON object in a string column ``value``. Numbers are read as
 text first, so a number in quotes counts as a number and a wrong type in one
 field does not make the whole message unreadable.
+
+Parsed fields come out of a generator of one row. A filter on a plain column is
+pushed below it and computes it once more, which would parse every message
+twice; a filter on a generated column stays above the generator.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC_FIELDS = ("msg_id", "create_time", "process_time")
-_RAW = "msg_id STRING, create_time STRING, process_time STRING, processor STRING, _corrupt_record STRING"
+ADDED_FIELDS = ("process_time", "processor")
 
 
 def _as_long(text: Column) -> Column:
@@ -23,17 +27,26 @@ def parse(messages: DataFrame) -> DataFrame:
     Missing, null and empty numeric fields become 0. A message is malformed when
     it is not a JSON object or when a numeric field holds something else.
     """
-    record = F.from_json("value", _RAW, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = messages.withColumn("_message", record)
-    given = {f: F.nullif(F.trim(F.col(f"_message.{f}")), F.lit("")) for f in NUMERIC_FIELDS}
-    wrong = [given[f].isNotNull() & _as_long(given[f]).isNull() for f in NUMERIC_FIELDS]
-    malformed = F.col("_message").isNull() | F.col("_message._corrupt_record").isNotNull()
-    for w in wrong:
-        malformed = malformed | w
-    typed = {f: F.coalesce(_as_long(given[f]), F.lit(0).cast("bigint")) for f in NUMERIC_FIELDS}
-    return rows.withColumns(
-        {**typed, "processor": F.col("_message.processor"), "malformed": F.coalesce(malformed, F.lit(True))}
-    ).drop("_message")
+    text_fields = [*NUMERIC_FIELDS, "processor", "_corrupt_record"]
+    record = F.from_json(
+        "value", ", ".join(f"{f} STRING" for f in text_fields), {"columnNameOfCorruptRecord": "_corrupt_record"}
+    )
+    renamed = [f"_{f}" for f in text_fields[:-1]] + ["_corrupt_record"]
+    rows = messages.select("*", F.inline_outer(F.array(record)).alias(*renamed))
+    # Blank text gives no record, which looks like an object without fields.
+    malformed = F.col("value").isNull() | ~F.col("value").rlike(r"^\s*\{") | F.col("_corrupt_record").isNotNull()
+    typed = {}
+    for field in NUMERIC_FIELDS:
+        given = F.trim(f"_{field}")
+        number = _as_long(given)
+        malformed = malformed | ((given != "") & number.isNull())
+        typed[field] = F.coalesce(number, F.lit(0).cast("bigint"))
+    return rows.select(
+        *messages.columns,
+        *[c.alias(name) for name, c in typed.items()],
+        F.col("_processor").alias("processor"),
+        F.coalesce(malformed, F.lit(False)).alias("malformed"),
+    )
 
 
 def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,25 +67,24 @@ def enrich(messages: DataFrame, processor: str, at: Column | None = None) -> Dat
     """
     at = F.unix_millis(F.current_timestamp()) if at is None else at
     fields = F.from_json("value", "map<string,variant>")
-    kept = F.filter(
-        F.map_entries("_fields"), lambda e: ~e["key"].isin("process_time", "processor")
+    added = F.create_map(
+        F.lit("process_time"), at.cast("variant"), F.lit("processor"), F.lit(processor).cast("variant")
     )
-    names = F.transform("_kept", lambda e: e["key"])
-    # A repeated name in one object: the last one counts.
+    names = F.map_keys("_fields")
+    plain = F.map_concat(F.map_filter("_fields", lambda name, _: ~name.isin(*ADDED_FIELDS)), added)
+    # A name repeated within one object: its last value counts.
     last_of_each = F.filter(
-        "_kept", lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size("_kept") + 1), e["key"])
-    )
-    unique = F.when(F.size(F.array_distinct(names)) == F.size(names), F.col("_kept")).otherwise(last_of_each)
-    added = F.array(
-        F.struct(F.lit("process_time").alias("key"), at.cast("variant").alias("value")),
-        F.struct(F.lit("processor").alias("key"), F.lit(processor).cast("variant").alias("value")),
+        F.map_entries("_fields"),
+        lambda field, i: ~field["key"].isin(*ADDED_FIELDS)
+        & ~F.array_contains(F.slice(names, i + 2, F.size(names)), field["key"]),
     )
+    repeated = F.map_concat(F.map_from_entries(last_of_each), added)
+    enriched = F.when(F.size(F.array_distinct(names)) == F.size(names), plain).otherwise(repeated)
     return (
-        messages.withColumn("_fields", fields)
+        messages.select("*", F.explode_outer(F.array(fields)).alias("_fields"))
         .where(F.col("_fields").isNotNull())
-        .withColumn("_kept", kept)
-        .withColumn("value", F.to_json(F.map_from_entries(F.concat(unique, added))))
-        .drop("_fields", "_kept")
+        .withColumn("value", F.to_json(enriched))
+        .drop("_fields")
     )
 
 

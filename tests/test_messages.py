@@ -13,9 +13,9 @@ GOOD = {
     '{"create_time":3}': (0, 3, 0),
     '{"msg_id":null,"create_time":" 4 "}': (0, 4, 0),
     '{"msg_id":2.9}': (2, 0, 0),
-    "{}": (0, 0, 0),
+    " \t{}": (0, 0, 0),
 }
-BAD = ['{"msg_id":1', '[{"msg_id":3}]', "5", "", "null", '{"msg_id":"abc"}', '{"msg_id":{"a":1}}', None]
+BAD = ['{"msg_id":1', "\t\n", '[{"msg_id":3}]', "5", "", "null", '{"msg_id":"abc"}', '{"msg_id":{"a":1}}', None]
 
 
 def frame(spark, values):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from oncemore.functions import messages as msg
 from oncemore.operators.fold import fold
 from oncemore.operators.percentiles import nearest_rank_percentiles
-from oncemore.plans import faults, snapshots, stats
+from oncemore.plans import faults, snapshots, stats, views
 from oncemore.sinks.tables import (
     read_metrics,
     read_snapshots,
@@ -92,6 +92,16 @@ def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.row_count(read_metrics(spark, path)).select(F.lit(before).alias("n_before"), "n")
 
 
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several statistics joined in SQL."""
+    views.create_views(_metrics(spark, sf_dir))
+    return spark.sql("""
+        SELECT job_type, p99_latency_ms, duplicate_rate_pct, max_process_count
+        FROM v_latency_percentiles JOIN v_comparison USING (job_type)
+        WHERE job_type LIKE '%i%'
+    """)
+
+
 def _create_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "snapshots")
     time = F.timestamp_millis(F.lit(T0 + 3_000_000))
@@ -239,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delivery_stats": _of_log(stats.delivery_stats),
         "stored_metrics": _stored_metrics,
         "reset_metrics": _reset,
+        "views_in_sql": _views,
         # Snapshots.
         "create_snapshot": _create_snapshot,
         "snapshot_series": _series,
@@ -517,6 +528,13 @@ FROM known GROUP BY job_type""",
         "delivery_stats": _DELIVERY_STATS,
         "stored_metrics": f"{fold_sql} WHERE job_type <> 'view'",
         "reset_metrics": f"WITH {_METRICS} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n FROM metrics",
+        "views_in_sql": f"""
+WITH {_METRICS},
+{_ranked("metrics", "job_type", _P)}
+SELECT job_type, max(p99) AS p99_latency_ms,
+       round(count(*) FILTER (process_count > 1) / count(*) * 100, 2) AS duplicate_rate_pct,
+       max(process_count) AS max_process_count
+FROM metrics JOIN pcts USING (job_type) WHERE job_type LIKE '%i%' GROUP BY job_type""",
         "create_snapshot": _SERIES
         + f""", last AS (SELECT * FROM snapshots WHERE note = 'window 6')
 SELECT * REPLACE (row_number() OVER (ORDER BY job_type) AS id, make_timestamp({T0 + 3_000_000} * 1000) AS snapshot_time,

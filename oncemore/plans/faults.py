@@ -35,41 +35,45 @@ def fault_recovery(
     columns are null when there is none. Jobs without messages in the
     ``baseline_s`` seconds before a fault have no row for it.
 
-    Faults and seconds meet on stretches of time as long as a fault's view, of
-    which a fault touches two, so this is an ordinary equi-join.
+    Recovery depends on the second of a fault only, so it is found once per such
+    second however many faults share it. Fault seconds and message seconds meet
+    on stretches of time as long as a fault's view, of which a view touches at
+    most two: an ordinary equi-join.
     """
     width = baseline_s + horizon_s + 1
-    viewed = (
-        faults.select(*FAULT)
+    listed = faults.select(*FAULT).distinct().withColumn("fault_second", F.unix_seconds("inject_time"))
+    views = (
+        listed.select("fault_second")
         .distinct()
-        .withColumn("fault_second", F.unix_seconds("inject_time"))
         .withColumn(
             "stretch",
             F.explode(
-                F.expr(f"sequence((fault_second - {baseline_s}L) div {width}L, (fault_second + {horizon_s}L) div {width}L)")
+                F.sequence(
+                    F.expr(f"(fault_second - {baseline_s}L) div {width}L"),
+                    F.expr(f"(fault_second + {horizon_s}L) div {width}L"),
+                )
             ),
         )
     )
-    seen = seconds.withColumn("stretch", F.expr(f"second div {width}L")).join(viewed, "stretch").where(
+    seen = seconds.withColumn("stretch", F.expr(f"second div {width}L")).join(views, "stretch").where(
         F.col("second").between(F.col("fault_second") - baseline_s, F.col("fault_second") + horizon_s)
     )
     # A partition holds the seconds of one view: at most `width` rows.
-    view = Window.partitionBy(*FAULT, "job_type")
+    view = Window.partitionBy("fault_second", "job_type")
     before = F.sum(F.when(F.col("second") < F.col("fault_second"), F.col("messages"))).over(view)
     back = (F.col("second") > F.col("fault_second")) & (F.col("messages") >= F.col("baseline") * threshold)
-    recovered = F.min(F.when(back, F.col("second")))
-    return (
+    recoveries = (
         seen.withColumn("baseline", before / baseline_s)
         .where(F.col("baseline").isNotNull())
-        .groupBy(*FAULT, "job_type", "fault_second")
-        .agg(F.round(F.max("baseline"), 2).alias("baseline_msg_s"), recovered.alias("back"))
-        .select(
-            *FAULT,
-            "job_type",
-            "baseline_msg_s",
-            F.timestamp_seconds("back").alias("recovered_at"),
-            (F.col("back") - F.col("fault_second")).alias("recovery_s"),
-        )
+        .groupBy("fault_second", "job_type")
+        .agg(F.max("baseline").alias("baseline"), F.min(F.when(back, F.col("second"))).alias("back"))
+    )
+    return listed.join(recoveries, "fault_second").select(
+        *FAULT,
+        "job_type",
+        F.round("baseline", 2).alias("baseline_msg_s"),
+        F.timestamp_seconds("back").alias("recovered_at"),
+        (F.col("back") - F.col("fault_second")).alias("recovery_s"),
     )
 
 

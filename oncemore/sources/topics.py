@@ -40,7 +40,7 @@ def read_topic(
 
 
 def read_message_files(
-    spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None, streaming: bool = True
+    spark: SparkSession, path: str | list[str], *, max_files_per_trigger: int | None = None, streaming: bool = True
 ) -> DataFrame:
     """Files with one JSON message per line, as a column ``value``."""
     reader = spark.readStream if streaming else spark.read

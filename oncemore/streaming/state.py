@@ -19,6 +19,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 CHECKPOINT_EVERY = "5 seconds"
 
+# Batch number of rows copied by `compact`.
+COMPACTED = -1
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` below the session's ``spark.checkpoint.dir``.
@@ -64,6 +67,15 @@ def start_table(
     )
 
 
+def compact(spark: SparkSession, path: str, new_path: str, schema: StructType, keys: Sequence[str]) -> None:
+    """Copy the current rows to ``new_path``, in few files instead of some per
+    batch. To go on there, stop the stream first and start it again with the
+    same checkpoint. A batch repeated on that start still counts once, because
+    the copy ranks below every batch."""
+    current = latest_rows(spark, path, schema, keys)
+    write_batch(current.hint("rebalance"), new_path, COMPACTED)
+
+
 def latest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
     """The current row of every key: the one of its last batch."""
     stored = spark.read.schema(schema).parquet(path)

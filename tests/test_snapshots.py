@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oncemore.operators.fold import fold
 from oncemore.plans import snapshots
+from oncemore.plans.views import create_views
 from oncemore.schemas import SNAPSHOTS
 from oncemore.sinks.tables import read_metrics, read_snapshots, reset_metrics, write_metrics
 from tests.helpers import DELIVERY, METRIC, metrics_with_latencies, rows
@@ -114,3 +115,11 @@ def test_metrics_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(job_type" in one._jdf.queryExecution().executedPlan().toString()
     reset_metrics(spark, path)
     assert read_metrics(spark, path).count() == 0
+
+
+def test_views(spark, table):
+    create_views(metrics_with_latencies(spark, [10, 20, 40]), table)
+    assert spark.sql("SELECT p95_latency_ms FROM v_experiment_stats WHERE job_type LIKE 'a%'").first()[0] == 20
+    assert spark.sql("SELECT messages FROM v_throughput_per_second").first()[0] == 3
+    assert spark.sql("SELECT count(*) FROM v_snapshot_history WHERE note LIKE '%two%'").first()[0] == 2
+    assert spark.sql("SELECT count(*) FROM stats_snapshots").first()[0] == 4

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from oncemore.functions import messages as msg
-from oncemore.operators.fold import fold
+from oncemore.operators.fold import KEY, fold
 from oncemore.plans import snapshots, stats
+from oncemore.schemas import METRICS
 from oncemore.sinks.tables import read_snapshots
 from oncemore.sources import eventlog
 from oncemore.sources.topics import read_message_files
@@ -58,15 +59,38 @@ def test_stream_fold_equals_batch_fold(spark, log, message_files, tmp_path):
     assert folded(delivery.current_metrics(spark, table)) == want
 
 
-def test_replay_from_the_start_counts_everything_again(spark, log, message_files, tmp_path):
-    """A new checkpoint after a restart delivers every message once more."""
-    once = delivery.start_fold(stream_of(spark, message_files), str(tmp_path / "m"), str(tmp_path / "c"), every=None)
-    once.awaitTermination()
-    later = log.withColumn("out_time", F.col("out_time") + 3_600_000)
-    want = {(r.job_type, r.msg_id): r.process_count for r in fold(log).collect()}
-    got = {(r.job_type, r.msg_id): r.process_count for r in fold(log.unionByName(later)).collect()}
-    assert got == {k: 2 * n for k, n in want.items()}
-    assert {(r.job_type, r.msg_id): r.process_count for r in delivery.current_metrics(spark, str(tmp_path / "m")).collect()} == want
+def test_compacted_table_goes_on(spark, log, message_files, tmp_path):
+    table, compacted, checkpoint = (str(tmp_path / n) for n in ("metrics", "compacted", "checkpoint"))
+    delivery.start_fold(stream_of(spark, message_files), table, checkpoint, every=None).awaitTermination()
+    state.compact(spark, table, compacted, METRICS, KEY)
+    want = folded(fold(log))
+    assert folded(delivery.current_metrics(spark, compacted)) == want
+    # The last batch again, and then one that changes a single message.
+    state.write_batch(spark.read.parquet(f"{table}/batch_id=3"), compacted, 3)
+    assert folded(delivery.current_metrics(spark, compacted)) == want
+    one = fold(log).limit(1).withColumn("process_count", F.lit(99).cast("long"))
+    state.write_batch(one.select(*METRICS.names), compacted, 4)
+    assert [r[5] for r in folded(delivery.current_metrics(spark, compacted)) if r not in want] == [99]
+
+
+def test_restart_without_checkpoint_delivers_everything_again(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("".join(f'{{"msg_id":{i},"create_time":{i}}}\n' for i in range(30)))
+    outs = [str(tmp_path / f"out{run}") for run in range(2)]
+    for run, out in enumerate(outs):
+        delivery.start_enrich_to_files(
+            read_message_files(spark, str(source)), "spark", out, str(tmp_path / f"checkpoint{run}"), every=None
+        ).awaitTermination()
+    collected = fold(msg.deliveries_of(read_message_files(spark, outs, streaming=False), "a"))
+    assert collected.count() == 30
+    assert {r.process_count for r in collected.collect()} == {2}
+    # With the first checkpoint there is nothing left to deliver.
+    again = delivery.start_enrich_to_files(
+        read_message_files(spark, str(source)), "spark", outs[0], str(tmp_path / "checkpoint0"), every=None
+    )
+    again.awaitTermination()
+    assert sum(p["numInputRows"] for p in again.recentProgress) == 0
 
 
 def test_running_figures(spark, log, message_files, tmp_path):

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from oncemore.functions import messages as msg
 from oncemore.operators.fold import fold
@@ -60,6 +61,12 @@ def _snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshots(spark, path)
 
 
+def _doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, so that both engines return the same type."""
+    decimals = [f.name for f in df.schema if isinstance(f.dataType, DecimalType)]
+    return df.withColumns({c: F.col(c).cast("double") for c in decimals})
+
+
 def _of_metrics(query: Callable[..., DataFrame], *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(_metrics(spark, sf_dir), *args, **kwargs)
 
@@ -69,7 +76,7 @@ def _of_log(query: Callable[..., DataFrame], *args, **kwargs) -> Callable[[Spark
 
 
 def _of_snapshots(query: Callable[..., DataFrame], *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(_snapshot_table(spark, sf_dir), *args, **kwargs)
+    return lambda spark, sf_dir: _doubles(query(_snapshot_table(spark, sf_dir), *args, **kwargs))
 
 
 def _user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +96,7 @@ def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_metrics(_metrics(spark, sf_dir), path)
     before = stats.row_count(read_metrics(spark, path)).first()["n"]
     reset_metrics(spark, path)
-    return stats.row_count(read_metrics(spark, path)).select(F.lit(before).alias("n_before"), "n")
+    return stats.row_count(read_metrics(spark, path)).select(F.lit(before).cast("bigint").alias("n_before"), "n")
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +113,7 @@ def _create_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "snapshots")
     time = F.timestamp_millis(F.lit(T0 + 3_000_000))
     snapshots.create_snapshot(spark, _metrics(spark, sf_dir), path, "final", time)
-    return read_snapshots(spark, path)
+    return _doubles(read_snapshots(spark, path))
 
 
 def _parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +123,7 @@ def _parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = msg.split_malformed(eventlog.message_topic(_events(spark, sf_dir)))
-    return bad.select("job_type", "offset", F.length("value").alias("chars"))
+    return bad.select("job_type", "offset", F.length("value").cast("bigint").alias("chars"))
 
 
 def _enriched_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +163,7 @@ def _duplicate_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("job_type") == "error", "bolt-after")
         .when(F.col("job_type") == "purchase", "bolt-before")
         .when(F.col("job_type") == "signup", "after")
-        .otherwise("before")
+        .otherwise("none")
     )
     counted = stats.duplicate_stats(_metrics(spark, sf_dir))
     runs = counted.select(
@@ -214,7 +221,7 @@ def _stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.start_snapshots(
         log, shared_dir(spark, "metrics"), path, shared_dir(spark, "checkpoint"), every=None
     ).awaitTermination()
-    return snapshots.latest_snapshot(read_snapshots(spark, path))
+    return _doubles(snapshots.latest_snapshot(read_snapshots(spark, path)))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -252,7 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "views_in_sql": _views,
         # Snapshots.
         "create_snapshot": _create_snapshot,
-        "snapshot_series": _series,
+        "snapshot_series": lambda spark, sf_dir: _doubles(_series(spark, sf_dir)),
         "latest_snapshot": _of_snapshots(snapshots.latest_snapshot),
         "snapshot_history": _of_snapshots(snapshots.snapshot_history),
         "snapshot_history_of_note": _of_snapshots(snapshots.snapshot_history, limit=5, note_contains="dow 3"),
@@ -336,17 +343,16 @@ snapshots AS (
   SELECT row_number() OVER (ORDER BY cut, job_type) AS id,
          make_timestamp(({T0} + cut * 600000) * 1000) AS snapshot_time, job_type,
          count(*) AS total_messages, count(DISTINCT msg_id) AS unique_messages,
-         CAST(round(avg(latency), 2) AS DECIMAL(10,2)) AS avg_latency,
+         round(avg(latency), 2) AS avg_latency,
          min(latency) AS min_latency, max(latency) AS max_latency,
-         CAST(max(p50) AS DECIMAL(10,2)) AS p50_latency, CAST(max(p95) AS DECIMAL(10,2)) AS p95_latency,
-         CAST(max(p99) AS DECIMAL(10,2)) AS p99_latency,
-         CAST(round(stddev_pop(latency), 2) AS DECIMAL(10,2)) AS stddev_latency,
+         CAST(max(p50) AS DOUBLE) AS p50_latency, CAST(max(p95) AS DOUBLE) AS p95_latency,
+         CAST(max(p99) AS DOUBLE) AS p99_latency,
+         round(stddev_pop(latency), 2) AS stddev_latency,
          count(*) FILTER (process_count > 1) AS duplicate_messages,
-         CAST(round(count(*) FILTER (process_count > 1) / count(*) * 100, 4) AS DECIMAL(10,4)) AS duplicate_rate,
+         round(count(*) FILTER (process_count > 1) / count(*) * 100, 4) AS duplicate_rate,
          CAST(max(process_count) AS INTEGER) AS max_process_count,
          CAST(sum(process_count - 1) AS BIGINT) AS total_reprocess_count,
-         CAST(round(count(*) / nullif((max(out_time) - min(out_time)) / 1000.0, 0), 2) AS DECIMAL(10,2))
-           AS throughput_per_sec,
+         round(count(*) / nullif((max(out_time) - min(out_time)) / 1000.0, 0), 2) AS throughput_per_sec,
          CAST(round((max(out_time) - min(out_time)) / 1000.0, 0) AS BIGINT) AS time_window_sec,
          min(event_time) AS data_range_start, max(out_time) AS data_range_end,
          'window ' || CAST(cut + 1 AS VARCHAR) AS note
@@ -586,13 +592,13 @@ FROM recoveries""",
 WITH {_METRICS}, counted AS ({_DUPLICATES}),
 runs AS (
   SELECT *, CASE job_type WHEN 'click' THEN 'spout' WHEN 'error' THEN 'bolt-after' WHEN 'purchase' THEN 'bolt-before'
-           WHEN 'signup' THEN 'after' ELSE 'before' END AS fault_type
+           WHEN 'signup' THEN 'after' ELSE 'none' END AS fault_type
   FROM counted
 ),
 expected AS (
   SELECT job_type, fault_type, duplicate_messages AS faults,
-         duplicate_messages * CASE fault_type WHEN 'spout' THEN 1000 WHEN 'bolt-before' THEN 0
-           WHEN 'bolt-after' THEN 1 WHEN 'after' THEN 1 END AS expected_duplicates,
+         duplicate_messages * CASE WHEN fault_type = 'spout' THEN 1000
+           WHEN fault_type IN ('bolt-after', 'after') THEN 1 ELSE 0 END AS expected_duplicates,
          total_reprocess_count AS observed
   FROM runs
 )

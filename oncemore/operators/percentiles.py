@@ -21,7 +21,8 @@ def ranked_histogram(
     Columns: ``by``, ``value``, ``n`` (rows with this value), the ``extras``
     aggregates over them, ``upto`` (rows of the group with this value or a
     smaller one), ``total`` (rows of the group) and ``mean`` (of the group).
-    ``weight`` names a count column when the rows are already counted.
+    ``weight`` names a count column when the rows are already counted. Missing
+    values rank first, as in an ascending sort, and do not enter the mean.
 
     A group may hold a third of all rows, so no task sees a whole group. The
     values are counted at two levels at once, single values and buckets of
@@ -45,7 +46,7 @@ def ranked_histogram(
     whole = F.col("_whole") == 1
 
     # Bucket rows of a group form one partition, the values of a bucket another.
-    part = Window.partitionBy(*by, F.when(~whole, F.col("_bucket")))
+    part = Window.partitionBy(*by, "_whole", F.when(~whole, F.col("_bucket")))
     running = part.orderBy("_bucket", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sum_of_bucket = (
         F.col("n").cast("decimal(19,0)") * (F.col("_bucket") * BUCKET).cast("decimal(19,0)") + F.col("_rest")
@@ -55,6 +56,7 @@ def ranked_histogram(
             "_running": F.sum("n").over(running),
             "_total": F.sum("n").over(part),
             "_sum": F.sum(F.when(whole, sum_of_bucket)).over(part),
+            "_valued": F.sum(F.when(F.col("_bucket").isNotNull(), F.col("n"))).over(part),
         }
     )
 
@@ -69,7 +71,7 @@ def ranked_histogram(
             {
                 "upto": F.col("_running") + from_bucket(F.col("_running") - F.col("n")),
                 "total": from_bucket(F.col("_total")),
-                "mean": from_bucket(F.col("_sum").cast("double") / F.col("_total")),
+                "mean": from_bucket(F.try_divide(F.col("_sum").cast("double"), F.col("_valued"))),
             }
         )
         .where(~whole)
@@ -93,7 +95,8 @@ def mean() -> Column:
 def stddev_pop(value: str) -> Column:
     """Aggregate over a ranked histogram: population standard deviation."""
     off = F.col(value) - F.col("mean")
-    return F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n"))
+    valued = F.sum(F.when(F.col(value).isNotNull(), F.col("n")))
+    return F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), valued))
 
 
 def nearest_rank_percentiles(

@@ -33,18 +33,19 @@ def normalise(lines: DataFrame) -> DataFrame:
 
 
 def read_fault_log(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised faults from log files; missing trailing fields are null."""
+    """Normalised faults from log files; missing trailing fields are null, and
+    so is a time that cannot be read."""
     lines = (
         spark.read.schema(FAULT_LINES)
         .option("mode", "PERMISSIVE")
         .option("timestampFormat", TIME_FORMAT)
         .csv(path)
     )
-    return normalise(lines.where(F.col("inject_time").isNotNull()))
+    return normalise(lines)
 
 
 def parse_fault_lines(lines: DataFrame) -> DataFrame:
     """Normalised faults from a column ``value`` of log lines."""
     options = {"mode": "PERMISSIVE", "timestampFormat": TIME_FORMAT}
     parsed = lines.select(F.from_csv("value", FAULT_LINES_DDL, options).alias("f"))
-    return normalise(parsed.select("f.*").where(F.col("inject_time").isNotNull()))
+    return normalise(parsed.select("f.*"))

@@ -15,6 +15,7 @@ LINES = """2024-01-01 00:01:00,kill-tm,node2,4711
 not a time,kill-tm,node1,1
 """
 WANT = [
+    ("kill-tm", "node1", "1"),
     ("kill-tm", "node2", "4711"),
     ("kill-jm", None, "815"),
     ("network-tm", "node3", None),
@@ -27,7 +28,7 @@ def test_fault_log(spark, tmp_path):
     (tmp_path / "faults.csv").write_text(LINES)
     got = faultlog.read_fault_log(spark, str(tmp_path / "faults.csv")).orderBy("inject_time")
     assert [tuple(r)[1:] for r in got.collect()] == WANT
-    assert got.first().inject_time == dt.datetime(2024, 1, 1, 0, 1)
+    assert [r.inject_time for r in got.collect()][:2] == [None, dt.datetime(2024, 1, 1, 0, 1)]
     lines = spark.read.text(str(tmp_path / "faults.csv"))
     assert [tuple(r)[1:] for r in faultlog.parse_fault_lines(lines).orderBy("inject_time").collect()] == WANT
 

@@ -62,3 +62,15 @@ def test_weighted_rows(spark):
     one = ranked_histogram(plain, ["job_type"], "latency")
     other = ranked_histogram(counted, ["job_type"], "latency", weight="k")
     assert sorted(rows(one)) == sorted(rows(other))
+
+
+def test_missing_values_rank_first(spark):
+    data = [("a", i, 0, 0, v, 1) for i, v in enumerate([None, None, 10, 20, 3000])] + [("b", 1, 0, 0, None, 1)]
+    ranked = ranked_histogram(spark.createDataFrame(data, METRIC), ["job_type"], "latency").collect()
+    assert {(r.job_type, r.latency, r.upto, r.total, r.mean) for r in ranked} == {
+        ("a", None, 2, 5, 1010.0),
+        ("a", 10, 3, 5, 1010.0),
+        ("a", 20, 4, 5, 1010.0),
+        ("a", 3000, 5, 5, 1010.0),
+        ("b", None, 1, 1, None),
+    }

@@ -27,7 +27,7 @@ def table(spark, tmp_path):
 
 
 def test_ids_continue_and_columns_match(spark, table):
-    assert table.schema.names == SNAPSHOTS.names
+    assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in SNAPSHOTS]
     got = {(r.id, r.job_type, r.note) for r in table.collect()}
     assert got == {(1, "a", "phase one"), (2, "b", "phase one"), (3, "a", "phase two"), (4, "b", "phase two")}
 

@@ -212,7 +212,7 @@ def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.start_enrich_to_files(
         topic, "spark", path, shared_dir(spark, "checkpoint"), every=None, at=F.col("out_time")
     ).awaitTermination()
-    return _fields_of_enriched(spark.read.text(path))
+    return _fields_of_enriched(spark.read.text(path).where("NOT malformed"))
 
 
 def _stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,9 +375,13 @@ SELECT job_type, count(*) AS total_messages, round(avg(latency), 2) AS avg_laten
        max(process_count) AS max_process_count
 FROM metrics"""
 
-_RANGE = """CASE WHEN latency < 100 THEN '0-100ms' WHEN latency < 500 THEN '100-500ms'
-  WHEN latency < 1000 THEN '500-1000ms' WHEN latency < 2000 THEN '1-2s'
-  WHEN latency < 5000 THEN '2-5s' ELSE '>5s' END"""
+# Ranges as rows to join with: name, lower bound, upper bound.
+_BOUNDS = [-(2**62), *(bound for bound, _ in stats.LATENCY_RANGES), 2**62]
+_NAMES = [*(name for _, name in stats.LATENCY_RANGES), stats.LAST_RANGE]
+_RANGES = f"""
+ranges(bucket, low, high) AS (
+  VALUES {", ".join(str(r) for r in zip(_NAMES, _BOUNDS, _BOUNDS[1:]))}
+)"""
 
 _DUPLICATE_ROWS = "msg_id, process_count, latency AS latency_ms, make_timestamp(event_time * 1000) AS created_at"
 
@@ -461,12 +465,12 @@ FROM metrics GROUP BY job_type""",
 WITH {_METRICS},
 {_ranked("metrics", "job_type", _P)}
 SELECT job_type, count(*) AS total_messages, count(DISTINCT msg_id) AS unique_messages,
-       round(count(DISTINCT CASE WHEN process_count > 1 THEN msg_id END) / count(DISTINCT msg_id) * 100, 2)
+       round(count(DISTINCT msg_id) FILTER (process_count > 1) / count(DISTINCT msg_id) * 100, 2)
          AS duplicate_share_pct,
        round(avg(latency), 2) AS avg_latency_ms, min(latency) AS min_latency_ms, max(latency) AS max_latency_ms,
        max(p95) AS p95_latency_ms, max(p99) AS p99_latency_ms,
-       count(DISTINCT CASE WHEN process_count > 1 THEN msg_id END) AS duplicate_messages,
-       round(count(DISTINCT CASE WHEN process_count > 1 THEN msg_id END) / count(DISTINCT msg_id) * 100, 4)
+       count(DISTINCT msg_id) FILTER (process_count > 1) AS duplicate_messages,
+       round(count(DISTINCT msg_id) FILTER (process_count > 1) / count(DISTINCT msg_id) * 100, 4)
          AS duplicate_rate_pct,
        max(process_count) AS max_process_count, CAST(sum(process_count - 1) AS BIGINT) AS total_reprocess_count,
        round(count(*) / nullif((max(out_time) - min(out_time)) / 1000.0, 0), 2) AS throughput_msg_s
@@ -513,15 +517,16 @@ WITH {_METRICS}
 SELECT job_type, {_DUPLICATE_ROWS} FROM metrics WHERE job_type LIKE 's%' AND process_count > 1
 ORDER BY process_count DESC, msg_id, job_type LIMIT 20""",
         "latency_distribution": f"""
-WITH {_METRICS}
-SELECT {_RANGE} AS bucket, count(*) AS messages,
-       round(count(*) / (SELECT count(*) FROM metrics WHERE job_type = 'click') * 100, 2) AS share_pct
-FROM metrics WHERE job_type = 'click' GROUP BY 1 ORDER BY min(latency)""",
+WITH {_METRICS}, {_RANGES}
+SELECT bucket, count(*) AS messages, round(count(*) / sum(count(*)) OVER () * 100, 2) AS share_pct
+FROM metrics JOIN ranges ON latency >= low AND latency < high
+WHERE job_type = 'click' GROUP BY bucket ORDER BY min(latency)""",
         "latency_distributions": f"""
-WITH {_METRICS}
-SELECT job_type, {_RANGE} AS bucket, count(*) AS messages,
+WITH {_METRICS}, {_RANGES}
+SELECT job_type, bucket, count(*) AS messages,
        round(count(*) / sum(count(*)) OVER (PARTITION BY job_type) * 100, 2) AS share_pct
-FROM metrics GROUP BY job_type, 2 ORDER BY job_type, min(latency)""",
+FROM metrics JOIN ranges ON latency >= low AND latency < high
+GROUP BY job_type, bucket ORDER BY job_type, min(latency)""",
         "monitor_stats": _MONITOR,
         "row_count": f"WITH {_METRICS} SELECT count(*) AS n FROM metrics WHERE job_type = 'click'",
         "arrivals_between": f"""

@@ -57,13 +57,13 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def enrich(messages: DataFrame, processor: str, at: Column | None = None) -> DataFrame:
+def enrich_or_flag(messages: DataFrame, processor: str, at: Column | None = None) -> DataFrame:
     """Add or replace ``process_time`` and ``processor`` in the JSON of ``value``.
 
     Every other field, known or not, keeps its value and type. ``at`` is the
     processing time in epoch milliseconds; by default the time of the batch.
-    Rows whose ``value`` is not a JSON object are left out (see
-    ``split_malformed``).
+    Where ``value`` is not a JSON object it stays as it is and the added column
+    ``malformed`` is true.
     """
     at = F.unix_millis(F.current_timestamp()) if at is None else at
     fields = F.from_json("value", "map<string,variant>")
@@ -82,12 +82,16 @@ def enrich(messages: DataFrame, processor: str, at: Column | None = None) -> Dat
     enriched = F.when(F.size(F.array_distinct(names)) == F.size(names), plain).otherwise(repeated)
     return (
         messages.select("*", F.explode_outer(F.array(fields)).alias("_fields"))
-        .where(F.col("_fields").isNotNull())
-        .withColumn("value", F.to_json(enriched))
+        .withColumns({"value": F.coalesce(F.to_json(enriched), "value"), "malformed": F.col("_fields").isNull()})
         .drop("_fields")
     )
 
 
+def enrich(messages: DataFrame, processor: str, at: Column | None = None) -> DataFrame:
+    """The enriched messages without the malformed ones (see ``enrich_or_flag``)."""
+    return enrich_or_flag(messages, processor, at).where(~F.col("malformed")).drop("malformed")
+
+
 def serialise(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows as messages: string ``key`` (the message id) and JSON ``value``."""
     return rows.select(

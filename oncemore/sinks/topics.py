@@ -13,15 +13,17 @@ PRODUCER_OPTIONS = {
 
 
 def to_topic(
-    messages: DataFrame, servers: str, topic: str, checkpoint: str, **producer: str
+    messages: DataFrame, servers: str, topic: str | None, checkpoint: str, **producer: str
 ) -> DataStreamWriter:
-    """A writer (not yet started) for the ``value`` and, if present, ``key``
-    of a message stream. At-least-once, as Spark's Kafka sink is."""
-    columns = [c for c in ("key", "value") if c in messages.columns]
+    """A writer (not yet started) for the ``value`` and, if present, ``key`` of a
+    message stream, to ``topic`` or to the topic each row names in its column
+    ``topic``. At-least-once, as Spark's Kafka sink is."""
+    columns = [c for c in ("key", "value", "topic") if c in messages.columns]
     options = PRODUCER_OPTIONS | {f"kafka.{k.replace('_', '.')}": v for k, v in producer.items()}
-    return (
+    writer = (
         messages.select(*columns)
         .writeStream.format("kafka")
-        .options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint})
+        .options(**{"kafka.bootstrap.servers": servers, "checkpointLocation": checkpoint})
         .options(**options)
     )
+    return writer if topic is None else writer.option("topic", topic)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from oncemore.functions.messages import enrich
+from oncemore.functions.messages import enrich_or_flag
 from oncemore.operators.fold import KEY, fold
 from oncemore.plans.snapshots import last_id, snapshot_rows
 from oncemore.plans.stats import delivery_stats
@@ -27,10 +27,20 @@ def start_enrich_to_topic(
     topic: str,
     checkpoint: str,
     every: str | None = CHECKPOINT_EVERY,
+    quarantine_topic: str | None = None,
 ) -> StreamingQuery:
-    """Enrich a message stream into a result topic, without keys."""
-    out = enrich(messages, processor).select("value")
-    return to_topic(out, servers, topic, checkpoint).trigger(**trigger(every)).start()
+    """Enrich a message stream into a result topic, without keys. Malformed
+    messages go to ``quarantine_topic``, or nowhere without one."""
+    out = route(enrich_or_flag(messages, processor), topic, quarantine_topic)
+    return to_topic(out, servers, None, checkpoint).trigger(**trigger(every)).start()
+
+
+def route(flagged: DataFrame, topic: str, quarantine_topic: str | None = None) -> DataFrame:
+    """The topic each message belongs on."""
+    if quarantine_topic is None:
+        return flagged.where(~F.col("malformed")).select("value", F.lit(topic).alias("topic"))
+    target = F.when(F.col("malformed"), quarantine_topic).otherwise(topic)
+    return flagged.select("value", target.alias("topic"))
 
 
 def start_enrich_to_files(
@@ -41,10 +51,13 @@ def start_enrich_to_files(
     every: str | None = CHECKPOINT_EVERY,
     at: Column | None = None,
 ) -> StreamingQuery:
-    """Enrich a message stream into files with one JSON message per line."""
-    out = enrich(messages, processor, at).select("value")
+    """Enrich a message stream into files with one message per line, below
+    ``malformed=false``; malformed messages are kept below ``malformed=true``."""
     return (
-        out.writeStream.format("text")
+        enrich_or_flag(messages, processor, at)
+        .select("value", "malformed")
+        .writeStream.format("text")
+        .partitionBy("malformed")
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger(every))
         .start(path)

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from oncemore.functions import messages as msg
+from oncemore.sinks.topics import to_topic
 from oncemore.sources.generator import source_message_stream, source_messages
 from oncemore.sources.topics import read_topic
+from oncemore.streaming.delivery import route, start_enrich_to_topic
 
 GOOD = {
     '{"msg_id":1,"create_time":5,"payload":"xx","extra":{"k":[1,2.5,"s",null]}}': (1, 5, 0),
@@ -48,6 +50,13 @@ def test_enrich_leaves_out_malformed(spark):
     assert [json.loads(r.value) for r in out.collect()] == [{"process_time": 1, "processor": "p"}]
 
 
+def test_malformed_messages_are_kept_apart(spark):
+    flagged = msg.enrich_or_flag(frame(spark, ["{}", '{"a":', None]), "p")
+    got = {(r.topic, r.value if r.topic == "dead" else "ok") for r in route(flagged, "result", "dead").collect()}
+    assert got == {("result", "ok"), ("dead", '{"a":'), ("dead", None)}
+    assert [r.topic for r in route(flagged, "result").collect()] == ["result"]
+
+
 def test_deliveries_keep_the_position(spark):
     topic = frame(spark, ['{"msg_id":4,"create_time":10}']).select(
         "value", F.lit(2).alias("partition"), F.lit(9).cast("long").alias("offset")
@@ -68,6 +77,11 @@ def test_generator(spark):
     assert source_message_stream(spark, rate=5).isStreaming
 
 
-def test_topics_need_the_connector(spark):
+def test_topics_need_the_connector(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_topic(spark, "nowhere:9092", "source", group="g", max_per_trigger=10, min_partitions=4)
+    stream = source_message_stream(spark).select(F.lit("{}").alias("value"))
+    with pytest.raises(Exception, match="(?i)kafka"):
+        start_enrich_to_topic(stream, "p", "nowhere:9092", "result", str(tmp_path), quarantine_topic="dead")
+    with pytest.raises(Exception, match="(?i)kafka"):
+        to_topic(stream, "nowhere:9092", "result", str(tmp_path), linger_ms="5").start()

@@ -82,7 +82,8 @@ def test_restart_without_checkpoint_delivers_everything_again(spark, tmp_path):
         delivery.start_enrich_to_files(
             read_message_files(spark, str(source)), "spark", out, str(tmp_path / f"checkpoint{run}"), every=None
         ).awaitTermination()
-    collected = fold(msg.deliveries_of(read_message_files(spark, outs, streaming=False), "a"))
+    files = [f"{out}/malformed=false" for out in outs]
+    collected = fold(msg.deliveries_of(read_message_files(spark, files, streaming=False), "a"))
     assert collected.count() == 30
     assert {r.process_count for r in collected.collect()} == {2}
     # With the first checkpoint there is nothing left to deliver.
@@ -142,7 +143,9 @@ def test_enrich_stream(spark, tmp_path):
     delivery.start_enrich_to_files(
         read_message_files(spark, str(source)), "spark", out, str(tmp_path / "checkpoint"), every=None
     ).awaitTermination()
-    got = sorted((json.loads(r.value) for r in spark.read.text(out).collect()), key=lambda m: m["msg_id"])
+    written = spark.read.text(out).collect()
+    assert [r.value for r in written if r.malformed == "true"] == ['{"broken"']
+    got = sorted((json.loads(r.value) for r in written if r.malformed == "false"), key=lambda m: m["msg_id"])
     assert [m["msg_id"] for m in got] == [1, 2]
     assert got[0]["x"] is True and all(m["processor"] == "spark" and m["process_time"] > 0 for m in got)
 

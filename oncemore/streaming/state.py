@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
 CHECKPOINT_EVERY = "5 seconds"
 
 # Batch number of rows copied by `compact`.
@@ -38,10 +40,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def keep_state_on_disk(spark: SparkSession) -> None:
     """Use the RocksDB state store, unless the session sets another provider:
-    the state has a row per message and outgrows the heap."""
+    the state has a row per message and outgrows the heap. A checkpoint then
+    holds the changes of a batch, not the whole state again."""
     default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
     if spark.conf.get(PROVIDER, default) == default:
         spark.conf.set(PROVIDER, ROCKSDB)
+    if spark.conf.get(CHANGELOG, None) is None:
+        spark.conf.set(CHANGELOG, "true")
 
 
 def trigger(every: str | None = CHECKPOINT_EVERY) -> dict:

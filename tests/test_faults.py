@@ -1,11 +1,8 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from oncemore.plans import faults
 from oncemore.schemas import FAULTS
 from oncemore.sources import faultlog
-from tests.helpers import rows
 
 LINES = """2024-01-01 00:01:00,kill-tm,node2,4711
 2024-01-01 00:02:00,kill-jm,815

@@ -1,5 +1,3 @@
-from decimal import Decimal
-
 from pyspark.sql import functions as F
 
 from oncemore.operators.fold import fold

@@ -135,6 +135,14 @@ def test_first_deliveries(spark, log, message_files, tmp_path):
     assert len(got) == len(set(got)) == fold(log).count()
 
 
+def test_hot_message_is_dropped_before_the_shuffle(spark):
+    import pandas as pd
+
+    hot = pd.DataFrame({"job_type": "a", "msg_id": [1] * 5 + [2], "create_time": 0, "out_time": [5, 4, 3, 9, 3, 1]})
+    (kept,) = delivery._one_per_message(iter([hot]))
+    assert sorted(zip(kept.msg_id, kept.out_time)) == [(1, 3), (2, 1)]
+
+
 def test_enrich_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -27,6 +27,15 @@ from oncemore.sources import eventlog, faultlog
 from oncemore.streaming import delivery as streams
 from oncemore.streaming.state import latest_rows, shared_dir
 
+try:
+    import corpus_pipeline
+    from oncemore.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The rest of the library stands without the operators on training text.
+    if missing.name not in ("corpus_pipeline", "oncemore.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 T0 = eventlog.START_MS
 SERIES = {"start_ms": T0, "width_s": 600, "duration_s": 3600}
 
@@ -230,6 +239,18 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
+    return _queries() | more
+
+
+def oracle_sql() -> dict[str, str]:
+    more = dict(llm.SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        more["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return _oracle_sql() | more
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # The fold and the statistics over it.
         "fold_metrics": _metrics,
@@ -431,7 +452,7 @@ SELECT count(*) AS messages, round(avg(latency), 2) AS avg_latency_ms,
 FROM metrics WHERE job_type = 'click'"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _oracle_sql() -> dict[str, str]:
     fold_sql = f"WITH {_METRICS} SELECT * FROM metrics"
     final = _SERIES + f" SELECT {_SUMMARY} FROM snapshots WHERE snapshot_time = (SELECT max(snapshot_time) FROM snapshots)"
     return {

@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oncemore.llm.boilerplate import op10_boilerplate
 from oncemore.llm.decontaminate import op5_decontamination
+from oncemore.llm.hmm import op4_hmm
+from oncemore.llm.hostrules import op3_host_rules
+from oncemore.llm.langid import op1_language_id
 from oncemore.llm.mixing import op7_mixing
 from oncemore.llm.secrets import op6_secrets
 from oncemore.llm.simhash import op9_simhash
+from oncemore.llm.suffixdedup import op8_suffix_dedup
 from oncemore.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_host_rules": op3_host_rules,
+    "op4_hmm": op4_hmm,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
+    "op10_boilerplate": op10_boilerplate,
 }
 
+#: What these compute lies beyond SQL; tests/llm compares each with a plain version.
 SQL: dict[str, str] = {}

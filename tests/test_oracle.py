@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from tests.check_oracle import connect, rows_of
 from tests.helpers import DATA
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = entry._queries()
+ORACLE = entry._oracle_sql()
 
 
 @pytest.fixture(scope="module")

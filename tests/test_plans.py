@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.helpers import DATA
 
-QUERIES = entry.queries()
+QUERIES = entry._queries()
 # These write tables before they return a plan.
 EAGER = {n for n in QUERIES if n.startswith("stream_") or "snapshot" in n or n in ("avg_stats", "reset_metrics")}
 EAGER -= {"snapshot_series"}

@@ -179,8 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     segment of 21 or 22 bits but for one bit and differ in at most 52 bits: at
     similarity 0.8 they are found with a probability of some 0.9, at 0.9 of
     0.998. Of each group the smallest doc_id stays (null last), and of its rows
-    the one with the smallest number. Texts without words have no shingles: each is
-    a near duplicate of nothing, unless its whole text is repeated.
+    the one with the smallest number. Texts without words (null, empty or blank) are copies of each other.
     """
     ids = stored(fingerprints(docs, width, WORDS, keep="row"), "fingerprints")
     per_fp = stored(ids.groupBy("fp").agg(F.min("row").alias("row")), "per_fp")

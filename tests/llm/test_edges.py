@@ -1,0 +1,117 @@
+"""Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from oncemore.llm import boilerplate, decontaminate, hmm, hostrules, langid, mixing, secrets, simhash, suffixdedup, toxicity
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, "
+    "row string, fp string, size string, host string, k1 string, score string, sha string, held_out string, tokens int"
+)
+LONG = "lorem ipsum dolor sit amet " * 20_000
+ROWS = [
+    (1, "the quick brown fox jumps over the lazy dog " * 4, "en", "a", 176),
+    (1, "the quick brown fox jumps over the lazy dog " * 4, "en", "a", 176),
+    (2, "", "en", "a", 0),
+    (3, None, None, None, None),
+    (None, "you moron and idiot password = hunter2secret", "en", None, 5),
+    (4, " \t\n ", "de", "b", 4),
+    (5, LONG, "la", "b", len(LONG)),
+    (6, "der die das und ist nicht ein eine zu den von", "de", "b", 3),
+    (7, "\x01odd \x02 text é \U0001f600 token: abcdef0123", None, "c", 3),
+    (8, "!!! ### 123", "en", "c", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, *(["x"] * 8), 1) for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 0), (2, None), (None, 1), (5, 0), (6, 0), (8, 1), (8, 1)], "doc_id long, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog the quick brown fox jumps over"), (2, None), (None, ""), (3, "short")]
+    return spark.createDataFrame([(*r, "x") for r in rows], "item_id long, text string, row string")
+
+
+OPERATORS = {
+    "language": lambda d, lab, b: langid.language_id(d),
+    "toxicity": lambda d, lab, b: toxicity.toxicity(d, lab),
+    "hosts": lambda d, lab, b: hostrules.host_rules(d),
+    "hmm": lambda d, lab, b: hmm.language_model(d, states=2, passes=1),
+    "secrets": lambda d, lab, b: secrets.secrets(d),
+    "mixing": lambda d, lab, b: mixing.mixture(d),
+    "suffix": lambda d, lab, b: suffixdedup.dedup_spans(d),
+    "simhash": lambda d, lab, b: simhash.simhash_components(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_per_document(docs, labels, benchmark, name):
+    out = OPERATORS[name](docs, labels, benchmark).select("doc_id").toPandas()
+    assert sorted(out["doc_id"].fillna(-1)) == sorted(-1 if r[0] is None else r[0] for r in ROWS)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(docs, labels, benchmark, name):
+    assert OPERATORS[name](docs.limit(0), labels.limit(0), benchmark.limit(0)).count() == 0
+
+
+def test_results_of_the_edges(docs, labels):
+    found = {r["doc_id"]: r for r in langid.language_id(docs).collect()}
+    assert [found[i]["lang_pred"] for i in (2, 3, 4, 8)] == ["und"] * 4
+    rules = {r["doc_id"]: r for r in hostrules.host_rules(docs).collect()}
+    assert rules[3]["n_words"] == 0 and rules[3]["base_failed"] and not rules[3]["kept"]
+    assert rules[5]["n_words"] == 100_000 and rules[5]["n_repeat_words"] == 100_000
+    sizes = mixing.mixture(docs).groupBy("doc_id").agg(F.max("copies").alias("c")).collect()
+    assert all(r["c"] == 0 for r in sizes if r["doc_id"] in (2, 3, 4))
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.secrets(docs).collect()}
+    assert spans[None] == ["assign"] and spans[7] == ["assign"] and spans[3] == []
+    prints = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
+    assert {prints[i]["fingerprint"] for i in (2, 3, 4)} == {"0" * 16}
+    assert {prints[i]["component_id"] for i in (2, 3, 4)} == {2}
+    cut = {r["doc_id"]: r for r in suffixdedup.dedup_spans(docs).collect()}
+    assert cut[3]["n_bytes"] == 0 and cut[5]["n_removed"] > 500_000 - 200
+
+
+def test_contaminated(docs, benchmark):
+    found = decontaminate.contaminated(docs, benchmark).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_same"]) for r in found] == [(1, 1, 15)] * 2
+    assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
+    assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
+
+
+def test_pages(spark):
+    rows = [(1, None, None), (2, "http://a/x", ""), (2, "http://a/x", ""), (None, "no url", "<p>just &amp text"), (3, "http://a/y", "<b>" + LONG)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, row string, text string")
+    out = boilerplate.extract(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out) == [(0, 11), (1, 0), (2, 0), (2, 0), (3, len(LONG) - 1)]
+    assert boilerplate.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages(spark, docs, labels, benchmark, tmp_path, name, stage):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    kept = [-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect()]
+    want = {
+        # Of repeated rows one stays; null, empty and blank texts are copies.
+        "near_dedup": [-1, 1, 2, 5, 6, 7, 8],
+        "decontamination": [-1, 2, 3, 4, 5, 6, 7, 8],
+        "toxicity": [-1, 1, 1, 2, 3, 4, 5, 6, 7, 8],
+        "secret_scan": [-1, 1, 1, 2, 3, 4, 5, 6, 7, 8],
+    }
+    if name == "mixing":
+        assert set(kept) <= {-1, 1, 5, 6, 7, 8} and 5 in kept
+    else:
+        assert sorted(kept) == want[name]
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

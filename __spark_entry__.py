@@ -51,6 +51,23 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
+def _log_stream(spark: SparkSession, sf_dir: str, files: str | None = None) -> DataFrame:
+    """The log as a stream of four micro-batches, none in order of time: a
+    message's deliveries are dealt over files by a hash."""
+    path = files or _log_files(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reader = spark.readStream.schema(_log(spark, sf_dir).schema).option("maxFilesPerTrigger", max(1, n // 4))
+    return reader.parquet(path)
+
+
+def _log_files(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
+    path = shared_dir(spark, "log")
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _log(spark, sf_dir).where(where).repartition(n, F.xxhash64("msg_id", "out_time"))
+    dealt.write.parquet(path)
+    return path
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.redelivered_log(_events(spark, sf_dir))
 
@@ -182,37 +199,42 @@ def _duplicate_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = eventlog.redelivered_log(_events_stream(spark, sf_dir))
     path = shared_dir(spark, "metrics")
-    streams.start_fold(log, path, shared_dir(spark, "checkpoint"), every=None).awaitTermination()
+    streams.start_fold(
+        _log_stream(spark, sf_dir), path, shared_dir(spark, "checkpoint"), every=None
+    ).awaitTermination()
+    return streams.current_metrics(spark, path)
+
+
+def _stream_restarted_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold of part of the log, then of all of it, with a new checkpoint into the same table."""
+    path = shared_dir(spark, "metrics")
+    for where in ("msg_id % 3 > 0", "true"):
+        log = _log_stream(spark, sf_dir, _log_files(spark, sf_dir, where))
+        streams.start_fold(log, path, shared_dir(spark, "checkpoint"), every=None).awaitTermination()
     return streams.current_metrics(spark, path)
 
 
 def _stream_delivery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = eventlog.redelivered_log(_events_stream(spark, sf_dir))
+    log = _log_stream(spark, sf_dir)
     path = shared_dir(spark, "running")
     streams.start_delivery_stats(log, path, shared_dir(spark, "checkpoint"), every=None).awaitTermination()
     return latest_rows(spark, path, stats.delivery_stats(_log(spark, sf_dir)).schema, ["job_type"])
 
 
 def _stream_second_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = streams.second_counts_stream(eventlog.redelivered_log(_events_stream(spark, sf_dir)))
-    path = shared_dir(spark, "seconds")
-    streams.start_table(counts, path, shared_dir(spark, "checkpoint"), every=None).awaitTermination()
-    return latest_rows(spark, path, counts.schema, ["job_type", "second"])
+    path = shared_dir(spark, "metrics")
+    streams.start_fold(
+        _log_stream(spark, sf_dir), path, shared_dir(spark, "checkpoint"), every=None
+    ).awaitTermination()
+    return streams.current_second_counts(spark, path)
 
 
 def _stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = streams.first_deliveries(eventlog.redelivered_log(_events_stream(spark, sf_dir)))
+    log = _log_stream(spark, sf_dir)
     path = shared_dir(spark, "first")
-    (
-        first.select("job_type", "msg_id", "create_time")
-        .writeStream.option("checkpointLocation", shared_dir(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
-    return spark.read.parquet(path)
+    streams.start_first_deliveries(log, path, shared_dir(spark, "checkpoint"), every=None).awaitTermination()
+    return latest_rows(spark, path, log.schema, ["job_type", "msg_id"])
 
 
 def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +247,7 @@ def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = eventlog.redelivered_log(_events_stream(spark, sf_dir))
+    log = _log_stream(spark, sf_dir)
     path = shared_dir(spark, "snapshots")
     streams.start_snapshots(
         log, shared_dir(spark, "metrics"), path, shared_dir(spark, "checkpoint"), every=None
@@ -298,6 +320,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "message_metrics": _message_metrics,
         # Streams, run over the whole input.
         "stream_fold_metrics": _stream_fold,
+        "stream_restarted_fold": _stream_restarted_fold,
         "stream_delivery_stats": _stream_delivery_stats,
         "stream_second_counts": _stream_second_counts,
         "stream_first_deliveries": _stream_first_deliveries,
@@ -436,7 +459,7 @@ faults AS (
          CASE WHEN event_type NOT IN ('error', 'signup') THEN 'node' || CAST(user_id AS VARCHAR) END AS node,
          CASE WHEN event_type IN ('click', 'view', 'error') THEN CAST(event_id AS VARCHAR)
            WHEN event_type = 'signup' THEN 'job-' || CAST(event_id AS VARCHAR) END AS target
-  FROM events WHERE value > 300
+  FROM events
 )"""
 
 _DELIVERY_STATS = f"""
@@ -600,20 +623,21 @@ FROM newest""",
         "fault_log": f"WITH {_FAULTS} SELECT * FROM faults",
         "fault_recovery": f"""
 WITH {_METRICS}, {_SECONDS}, {_FAULTS},
-distinct_faults AS (SELECT DISTINCT *, epoch_us(inject_time) // 1000000 AS hit FROM faults),
+hits AS (SELECT DISTINCT epoch_us(inject_time) // 1000000 AS hit FROM faults),
 baselines AS (
-  SELECT f.*, job_type, sum(messages) / 60 AS baseline
-  FROM distinct_faults f JOIN seconds ON second >= hit - 60 AND second < hit GROUP BY ALL
+  SELECT hit, job_type, sum(messages) / 60 AS baseline
+  FROM hits JOIN seconds ON second >= hit - 60 AND second < hit GROUP BY ALL
 ),
 recoveries AS (
-  SELECT b.*, min(second) AS back
-  FROM baselines b LEFT JOIN seconds s ON b.job_type = s.job_type AND second > hit AND second <= hit + 600
+  SELECT hit, b.job_type, baseline, min(second) AS back
+  FROM baselines b LEFT JOIN seconds s ON b.job_type = s.job_type AND second > hit
     AND messages >= baseline * 0.9::DOUBLE
   GROUP BY ALL
 )
-SELECT inject_time, fault_type, node, target, job_type, round(baseline, 2) AS baseline_msg_s,
-       make_timestamp(back * 1000000) AS recovered_at, back - hit AS recovery_s
-FROM recoveries""",
+SELECT inject_time, fault_type, node, target, j.job_type, round(baseline, 2) AS baseline_msg_s,
+       make_timestamp(back * 1000000) AS recovered_at, back - epoch_us(inject_time) // 1000000 AS recovery_s
+FROM (SELECT DISTINCT * FROM faults) f, (SELECT DISTINCT job_type FROM seconds) j
+LEFT JOIN recoveries r ON r.job_type = j.job_type AND r.hit = epoch_us(f.inject_time) // 1000000""",
         "duplicate_expectation": f"""
 WITH {_METRICS}, counted AS ({_DUPLICATES}),
 runs AS (
@@ -623,6 +647,8 @@ runs AS (
 ),
 expected AS (
   SELECT job_type, fault_type, duplicate_messages AS faults,
+         CAST(CASE fault_type WHEN 'spout' THEN 30 WHEN 'bolt-before' THEN 10 WHEN 'bolt-after' THEN 10 END AS BIGINT)
+           AS expected_recovery_s,
          duplicate_messages * CASE WHEN fault_type = 'spout' THEN 1000
            WHEN fault_type IN ('bolt-after', 'after') THEN 1 ELSE 0 END AS expected_duplicates,
          total_reprocess_count AS observed
@@ -651,10 +677,13 @@ SELECT job_type, msg_id, max(CASE WHEN nth = 1 THEN create_time END) AS event_ti
        max(process_count) AS process_count
 FROM numbered GROUP BY job_type, msg_id""",
         "stream_fold_metrics": fold_sql,
+        "stream_restarted_fold": fold_sql,
         "stream_delivery_stats": _DELIVERY_STATS,
-        "stream_second_counts": f"""
-WITH {_LOG} SELECT job_type, out_time // 1000 AS second, count(*) AS messages FROM deliveries GROUP BY ALL""",
-        "stream_first_deliveries": f"WITH {_LOG} SELECT DISTINCT job_type, msg_id, create_time FROM deliveries",
+        "stream_second_counts": f"WITH {_METRICS}, {_SECONDS} SELECT * FROM seconds",
+        "stream_first_deliveries": f"""
+WITH {_LOG}
+SELECT job_type, msg_id, arg_min(create_time, out_time) AS create_time, min(out_time) AS out_time
+FROM deliveries GROUP BY job_type, msg_id""",
         "stream_enriched_messages": f"WITH {_TOPIC} SELECT {_ENRICHED}",
         "stream_snapshots": final,
     }

@@ -21,30 +21,38 @@ def _as_long(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,10)").try_cast("bigint"))
 
 
+def _whole(kind: str) -> Column:
+    """``value`` read as ``kind``, and a mark that is null unless the value is all
+    there is: a parser stops at the end of an object and takes no notice of
+    text behind it, so the mark is put there."""
+    return F.from_json(F.concat(F.lit('{"v":'), "value", F.lit(',"w":0}')), f"v {kind}, w INT")
+
+
+def _is_object() -> Column:
+    """Whether ``value`` is one JSON object, from the generated column ``_whole``."""
+    return F.coalesce(F.col("value").rlike(r"^\s*\{") & F.col("_whole").isNotNull(), F.lit(False))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """Add the typed fields of ``value`` and a flag ``malformed``.
 
     Missing, null and empty numeric fields become 0. A message is malformed when
     it is not a JSON object or when a numeric field holds something else.
     """
-    text_fields = [*NUMERIC_FIELDS, "processor", "_corrupt_record"]
-    record = F.from_json(
-        "value", ", ".join(f"{f} STRING" for f in text_fields), {"columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    renamed = [f"_{f}" for f in text_fields[:-1]] + ["_corrupt_record"]
-    rows = messages.select("*", F.inline_outer(F.array(record)).alias(*renamed))
-    # Blank text gives no record, which looks like an object without fields.
-    malformed = F.col("value").isNull() | ~F.col("value").rlike(r"^\s*\{") | F.col("_corrupt_record").isNotNull()
+    text_fields = [*NUMERIC_FIELDS, "processor"]
+    record = _whole("STRUCT<" + ", ".join(f"{f}: STRING" for f in text_fields) + ">")
+    rows = messages.select("*", F.inline_outer(F.array(record)).alias("_fields", "_whole"))
+    malformed = ~_is_object()
     typed = {}
     for field in NUMERIC_FIELDS:
-        given = F.trim(f"_{field}")
+        given = F.trim(F.col(f"_fields.{field}"))
         number = _as_long(given)
         malformed = malformed | ((given != "") & number.isNull())
         typed[field] = F.coalesce(number, F.lit(0).cast("bigint"))
     return rows.select(
         *messages.columns,
         *[c.alias(name) for name, c in typed.items()],
-        F.col("_processor").alias("processor"),
+        F.col("_fields.processor").alias("processor"),
         F.coalesce(malformed, F.lit(False)).alias("malformed"),
     )
 
@@ -60,31 +68,40 @@ def split_malformed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def enrich_or_flag(messages: DataFrame, processor: str, at: Column | None = None) -> DataFrame:
     """Add or replace ``process_time`` and ``processor`` in the JSON of ``value``.
 
-    Every other field, known or not, keeps its value and type. ``at`` is the
-    processing time in epoch milliseconds; by default the time of the batch.
-    Where ``value`` is not a JSON object it stays as it is and the added column
-    ``malformed`` is true.
+    ``at`` is the processing time in epoch milliseconds; by default the time of
+    the batch. The two fields are put before the closing brace, and the rest of the text stays as it
+    is, numbers of any length and repeated names included. Only a message that has one of the
+    fields already is written anew. Where ``value`` is not a JSON object it
+    stays as it is and the added column ``malformed`` is true, as in ``parse``.
     """
     at = F.unix_millis(F.current_timestamp()) if at is None else at
-    fields = F.from_json("value", "map<string,variant>")
+    name = F.to_json(F.struct(F.lit(processor).alias("processor")))
+    fields = F.concat(F.lit('"process_time":'), at.cast("string"), F.lit(","), F.substring(name, 2, 2**31 - 1))
+    open_ = F.regexp_replace("value", r"\s*\}\s*$", "")
+    comma = F.when(F.trim(open_) == "{", F.lit("")).otherwise(F.lit(","))
+    has = F.exists(F.map_keys("_fields"), lambda key: key.isin(*ADDED_FIELDS))
+    value = F.when(has, _rewritten(at, processor)).otherwise(F.concat(open_, comma, fields))
+    return (
+        messages.select("*", F.inline_outer(F.array(_whole("MAP<STRING, STRING>"))).alias("_fields", "_whole"))
+        .withColumn("malformed", ~_is_object())
+        .withColumn("value", F.when(F.col("malformed"), F.col("value")).otherwise(F.coalesce(value, "value")))
+        .drop("_fields", "_whole")
+    )
+
+
+def _rewritten(at: Column, processor: str) -> Column:
+    """``value`` with the added fields in place of its own. A name repeated in the object: its last value counts."""
+    own = F.from_json("value", "map<string,variant>")
     added = F.create_map(
         F.lit("process_time"), at.cast("variant"), F.lit("processor"), F.lit(processor).cast("variant")
     )
-    names = F.map_keys("_fields")
-    plain = F.map_concat(F.map_filter("_fields", lambda name, _: ~name.isin(*ADDED_FIELDS)), added)
-    # A name repeated within one object: its last value counts.
+    names = F.map_keys(own)
     last_of_each = F.filter(
-        F.map_entries("_fields"),
+        F.map_entries(own),
         lambda field, i: ~field["key"].isin(*ADDED_FIELDS)
         & ~F.array_contains(F.slice(names, i + 2, F.size(names)), field["key"]),
     )
-    repeated = F.map_concat(F.map_from_entries(last_of_each), added)
-    enriched = F.when(F.size(F.array_distinct(names)) == F.size(names), plain).otherwise(repeated)
-    return (
-        messages.select("*", F.explode_outer(F.array(fields)).alias("_fields"))
-        .withColumns({"value": F.coalesce(F.to_json(enriched), "value"), "malformed": F.col("_fields").isNull()})
-        .drop("_fields")
-    )
+    return F.to_json(F.map_concat(F.map_from_entries(last_of_each), added))
 
 
 def enrich(messages: DataFrame, processor: str, at: Column | None = None) -> DataFrame:

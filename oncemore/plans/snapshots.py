@@ -51,16 +51,18 @@ def snapshot_rows(
     return _snapshot_columns(full_stats(metrics), time, F.lit(note), ["job_type"], first_id)
 
 
-def last_id(spark: SparkSession, path: str, before_batch: int | None = None) -> int:
-    """Highest snapshot id in the table, 0 when there is none."""
+def last_id(spark: SparkSession, path: str, before: tuple[int, int] | None = None) -> int:
+    """Highest snapshot id in the table, 0 when there is none. ``before``: only
+    those of earlier generations and, in that one, of earlier batches."""
     try:
         stored = spark.read.schema(SNAPSHOTS).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return 0
-    if before_batch is not None and "batch_id" in stored.columns:
-        stored = stored.where(F.col("batch_id") < before_batch)
+    if before is not None and "batch_id" in stored.columns:
+        same = (F.col("generation") == before[0]) & (F.col("batch_id") < before[1])
+        stored = stored.where((F.col("generation") < before[0]) | same)
     return stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
@@ -135,10 +137,12 @@ def snapshot_series(
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Summary of the newest snapshot, by job."""
+    """Summary of the newest snapshot, by job. Of several taken in one second the last counts."""
     newest = snapshots.select(F.max("snapshot_time")).scalar()
+    last = snapshots.where(F.col("snapshot_time") == newest).groupBy("job_type")
+    rows = last.agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "job_type"]), "id").alias("row"))
     return (
-        snapshots.where(F.col("snapshot_time") == newest)
+        rows.select("job_type", "row.*")
         .orderBy("job_type", "id")
         .select(
             "job_type",

@@ -50,18 +50,18 @@ SNAPSHOTS = _struct(
     job_type=StringType,
     total_messages=LongType,
     unique_messages=LongType,
-    avg_latency=DecimalType(10, 2),
+    avg_latency=DecimalType(20, 2),
     min_latency=LongType,
     max_latency=LongType,
-    p50_latency=DecimalType(10, 2),
-    p95_latency=DecimalType(10, 2),
-    p99_latency=DecimalType(10, 2),
-    stddev_latency=DecimalType(10, 2),
+    p50_latency=DecimalType(20, 2),
+    p95_latency=DecimalType(20, 2),
+    p99_latency=DecimalType(20, 2),
+    stddev_latency=DecimalType(20, 2),
     duplicate_messages=LongType,
-    duplicate_rate=DecimalType(10, 4),
+    duplicate_rate=DecimalType(20, 4),
     max_process_count=IntegerType,
     total_reprocess_count=LongType,
-    throughput_per_sec=DecimalType(10, 2),
+    throughput_per_sec=DecimalType(20, 2),
     time_window_sec=LongType,
     data_range_start=LongType,
     data_range_end=LongType,

@@ -15,7 +15,7 @@ def read_topic(
     min_partitions: int | None = None,
     streaming: bool = True,
 ) -> DataFrame:
-    """Columns ``key``, ``value`` (text), ``partition``, ``offset``, ``timestamp``.
+    """Columns ``topic``, ``key``, ``value`` (text), ``partition``, ``offset``, ``timestamp``.
 
     Needs Spark's Kafka connector on the class path. ``max_per_trigger`` bounds
     a micro-batch (back-pressure); ``min_partitions`` splits large topic
@@ -31,6 +31,7 @@ def read_topic(
     if min_partitions:
         reader = reader.option("minPartitions", min_partitions)
     return reader.load().select(
+        "topic",
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
         "partition",

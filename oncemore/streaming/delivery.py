@@ -1,20 +1,19 @@
 """The streaming jobs: enrich messages, fold deliveries, count, take snapshots."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from oncemore.functions.columns import arrival_order
 from oncemore.functions.messages import enrich_or_flag
 from oncemore.operators.fold import KEY, fold
 from oncemore.plans.snapshots import last_id, snapshot_rows
-from oncemore.plans.stats import delivery_stats
+from oncemore.plans.stats import delivery_stats, second_counts
 from oncemore.schemas import METRICS
 from oncemore.sinks.topics import to_topic
 from oncemore.streaming.state import (
     CHECKPOINT_EVERY,
+    generation_of,
     keep_state_on_disk,
     latest_rows,
     start_table,
@@ -86,35 +85,52 @@ def start_delivery_stats(
     return start_table(delivery_stats(deliveries), path, checkpoint, every)
 
 
-def second_counts_stream(deliveries: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Deliveries per job and second. In append mode a second is emitted once
-    it is ``lateness`` old and then forgotten; in update mode as it grows."""
+def current_second_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Messages per job and second, from the metrics a fold stream has reached:
+    a message counts in the second of its last delivery, however late that came."""
+    return second_counts(current_metrics(spark, path))
+
+
+def second_counts_stream(deliveries: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Deliveries per job and second. Nothing is dropped, and the state has a
+    row per second. With ``lateness`` the state stays bounded instead: a second
+    is forgotten once it is that old, and deliveries that come later are
+    dropped; only then is there an append mode."""
+    at = deliveries.withColumn("_at", F.timestamp_millis("out_time"))
+    if lateness is not None:
+        at = at.withWatermark("_at", lateness)
     return (
-        deliveries.withColumn("_at", F.timestamp_millis("out_time"))
-        .withWatermark("_at", lateness)
-        .groupBy("job_type", F.window("_at", "1 second").alias("_second"))
+        at.groupBy("job_type", F.window("_at", "1 second").alias("_second"))
         .agg(F.count("*").alias("messages"))
         .select("job_type", F.unix_seconds("_second.start").alias("second"), "messages")
     )
 
 
-def _one_per_message(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.sort_values("out_time", kind="stable").drop_duplicates(list(KEY))
+def first_deliveries(deliveries: DataFrame) -> DataFrame:
+    """The first delivery of every message, with all its columns, in the order of
+    arrival and whatever the order of the files. Works on streams, in update
+    mode: a delivery that turns out to be earlier replaces the row. The state
+    has a row per message; repeats combine before the shuffle."""
+    order = arrival_order(deliveries)
+    rest = [c for c in deliveries.columns if c not in KEY]
+    first = deliveries.groupBy(*KEY).agg(*[F.min_by(c, order).alias(c) for c in rest])
+    return first.select(*deliveries.columns)
 
 
-def first_deliveries(deliveries: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """One delivery per message, from the micro-batch it first shows up in, for
-    state that must stay bounded: a message that comes again later than
-    ``horizon`` counts as new.
+def start_first_deliveries(
+    deliveries: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
+) -> StreamingQuery:
+    """Keep the first delivery of every message at ``path``; read it with ``latest_rows``."""
+    return start_table(first_deliveries(deliveries), path, checkpoint, every)
 
-    Spark drops duplicates only after the shuffle, where a message repeated
-    millions of times would keep one task busy. So repeats within an Arrow batch
-    go before it.
-    """
+
+def deliveries_within(deliveries: DataFrame, horizon: str) -> DataFrame:
+    """One delivery per message, for state that must stay bounded: which of those
+    in a micro-batch is left open, a message that comes again later than
+    ``horizon`` counts as new, and a message whose first delivery is itself that
+    late is dropped."""
     return (
-        deliveries.mapInPandas(_one_per_message, deliveries.schema)
-        .withColumn("_at", F.timestamp_millis("out_time"))
+        deliveries.withColumn("_at", F.timestamp_millis("out_time"))
         .withWatermark("_at", horizon)
         .dropDuplicatesWithinWatermark(list(KEY))
         .drop("_at")
@@ -132,12 +148,13 @@ def start_snapshots(
     """Fold a delivery stream and take a snapshot after every micro-batch."""
     spark = deliveries.sparkSession
     keep_state_on_disk(spark)
+    generation = generation_of(spark, metrics_path, checkpoint)
 
     def take(changed: DataFrame, batch_id: int) -> None:
-        write_batch(changed, metrics_path, batch_id)
-        first = last_id(spark, snapshots_path, before_batch=batch_id) + 1
+        write_batch(changed, metrics_path, batch_id, generation)
+        first = last_id(spark, snapshots_path, before=(generation, batch_id)) + 1
         rows = snapshot_rows(current_metrics(spark, metrics_path), f"{note} {batch_id + 1}", first_id=first)
-        write_batch(rows.coalesce(1), snapshots_path, batch_id)
+        write_batch(rows.coalesce(1), snapshots_path, batch_id, generation)
 
     return (
         fold(deliveries)

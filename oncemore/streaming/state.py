@@ -3,9 +3,12 @@
 Every micro-batch writes the full new rows of the keys it changed, under its own
 batch number, and replaces what an earlier attempt of the same batch wrote.
 Nothing is ever incremented in place, so repeating a batch changes nothing.
+
+Batch numbers start again with a new checkpoint. So the batches of a checkpoint
+stand below a generation, numbered on its first start and noted beside it; the
+newest generation is the table.
 """
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -24,17 +27,13 @@ CHECKPOINT_EVERY = "5 seconds"
 # Batch number of rows copied by `compact`.
 COMPACTED = -1
 
+GENERATION = "generation"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for ``name`` below the session's ``spark.checkpoint.dir``.
-
-    On a single machine without that setting, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="oncemore-")
+    """A new folder for ``name`` below ``spark.checkpoint.dir``, or, where that is
+    unset, below the warehouse, which all executors share as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,20 +53,53 @@ def trigger(every: str | None = CHECKPOINT_EVERY) -> dict:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies below ``path``; none if there is no such folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def _numbers(names: list[str], key: str) -> list[int]:
+    return sorted(int(n.removeprefix(f"{key}=")) for n in names if n.startswith(f"{key}="))
+
+
+def newest_generation(spark: SparkSession, path: str) -> int:
+    """Number of the table's newest generation, 0 when there is none."""
+    return max(_numbers(_folders(spark, path), GENERATION), default=0)
+
+
+def generation_of(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The generation of the table at ``path`` that ``checkpoint`` writes: a new
+    one on the checkpoint's first start, the same ever after."""
+    note = f"{checkpoint.rstrip('/')}/table"
+    known = _numbers(_folders(spark, note), GENERATION)
+    if known:
+        return known[-1]
+    number = newest_generation(spark, path) + 1
+    # An empty folder is the note; it is made before the first batch.
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{note}/{GENERATION}={number}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return number
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int, generation: int = 1) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/{GENERATION}={generation}/batch_id={batch_id}")
 
 
 def start_table(
     changes: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
 ) -> StreamingQuery:
-    """Keep the rows of an updating stream in the table at ``path``."""
-    keep_state_on_disk(changes.sparkSession)
+    """Keep the rows of an updating stream in the table at ``path``. With a new
+    checkpoint the stream fills a new generation of the table, from all input it is given."""
+    spark = changes.sparkSession
+    keep_state_on_disk(spark)
+    generation = generation_of(spark, path, checkpoint)
     return (
         changes.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger(every))
-        .foreachBatch(lambda rows, batch_id: write_batch(rows, path, batch_id))
+        .foreachBatch(lambda rows, batch_id: write_batch(rows, path, batch_id, generation))
         .start()
     )
 
@@ -78,14 +110,12 @@ def compact(spark: SparkSession, path: str, new_path: str, schema: StructType, k
     same checkpoint. A batch repeated on that start still counts once, because
     the copy ranks below every batch."""
     current = latest_rows(spark, path, schema, keys)
-    write_batch(current.hint("rebalance"), new_path, COMPACTED)
+    write_batch(current.hint("rebalance"), new_path, COMPACTED, max(newest_generation(spark, path), 1))
 
 
 def latest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
-    """The current row of every key: the one of its last batch."""
-    stored = spark.read.schema(schema).parquet(path)
-    if "batch_id" not in stored.columns:
-        return stored
+    """The current row of every key: the one of its last batch in the newest generation."""
+    stored = spark.read.schema(schema).parquet(f"{path}/{GENERATION}={max(newest_generation(spark, path), 1)}")
     values = [c for c in schema.names if c not in keys]
     return (
         stored.groupBy(*keys)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from oncemore.plans import faults
 from oncemore.schemas import FAULTS
 from oncemore.sources import faultlog
@@ -54,14 +56,24 @@ def test_no_recovery_and_no_baseline(spark):
     dead = seconds(spark, {s: 10 for s in range(900, 1000)})
     late = seconds(spark, {s: 10 for s in range(1001, 1100)}, "late")
     got = faults.fault_recovery(fault(spark, 1000), dead.unionByName(late)).collect()
-    assert [(r.job_type, r.recovery_s) for r in got] == [("a", None)]
+    assert sorted((r.job_type, r.baseline_msg_s, r.recovery_s) for r in got) == [("a", 10.0, None), ("late", None, None)]
+
+
+def test_recovery_however_late_and_no_fault_is_lost(spark):
+    times = {s: 10 for s in range(0, 100)} | {1_000_000: 9, 70_000_000: 8, 300_000_000: 50, 300_000_001: 60}
+    lost = fault(spark, 100).withColumn("inject_time", F.lit(None).cast("timestamp"))
+    got = faults.fault_recovery(fault(spark, 100, 200).unionByName(lost), seconds(spark, times), threshold=0.95)
+    found = {r.inject_time and int(r.inject_time.timestamp()): (r.job_type, r.baseline_msg_s, r.recovery_s) for r in got.collect()}
+    assert found == {100: ("a", 10.0, 300_000_000 - 100), 200: ("a", None, None), None: ("a", None, None)}
+    soon = faults.fault_recovery(fault(spark, 100), seconds(spark, times), threshold=0.8).first()
+    assert soon.recovery_s == 1_000_000 - 100
 
 
 def test_repeated_fault_lines_count_once_and_stretches_do_not_matter(spark):
     counts = seconds(spark, {s: 10 for s in range(0, 6000)})
     for s in range(100, 5000, 331):
         twice = fault(spark, s, s)
-        got = faults.fault_recovery(twice, counts, baseline_s=60, horizon_s=600).collect()
+        got = faults.fault_recovery(twice, counts, baseline_s=60).collect()
         assert [(r.baseline_msg_s, r.recovery_s) for r in got] == [(10.0, 1)]
 
 
@@ -71,12 +83,12 @@ def test_expected_duplicates(spark):
     observed = spark.createDataFrame([(k, 6) for k in kinds[:-1]], "job_type string, total_reprocess_count long")
     got = {r.fault_type: tuple(r)[3:] for r in faults.duplicate_expectation(runs, observed, max_pending=500).collect()}
     assert got == {
-        "none": (0, 6, None),
-        "bolt-before": (0, 6, None),
-        "bolt-after": (3, 6, 2.0),
-        "spout": (1500, 6, 0.004),
-        "acker": (1500, 6, 0.004),
-        "after": (3, 6, 2.0),
-        "before": (None, 6, None),
-        "unheard-of": (None, 0, None),
+        "none": (None, 0, 6, None),
+        "bolt-before": (10, 0, 6, None),
+        "bolt-after": (10, 3, 6, 2.0),
+        "spout": (30, 1500, 6, 0.004),
+        "acker": (60, 1500, 6, 0.004),
+        "after": (None, 3, 6, 2.0),
+        "before": (None, None, 6, None),
+        "unheard-of": (None, None, 0, None),
     }

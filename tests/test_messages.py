@@ -41,8 +41,25 @@ def test_enrich_keeps_other_fields(spark):
 
 def test_enrich_takes_the_last_of_repeated_fields(spark):
     out = msg.enrich(frame(spark, ['{"msg_id":1,"x":2,"msg_id":3}']), "p").first().value
-    assert out.count("msg_id") == 1
     assert json.loads(out)["msg_id"] == 3 and json.loads(out)["x"] == 2
+    assert msg.parse(frame(spark, [out])).first().msg_id == 3
+    again = msg.enrich(frame(spark, ['{"msg_id":1,"processor":"x","msg_id":3}']), "p").first().value
+    assert again.count("msg_id") == 1 and json.loads(again)["msg_id"] == 3
+
+
+def test_text_behind_an_object_is_malformed_everywhere(spark):
+    bad = ['{"msg_id":1}{"msg_id":2}', '{"msg_id":1} garbage', '{"msg_id":1},{"msg_id":2}', '{"msg_id":1}]}', '{"msg_id":1}}']
+    assert {r.malformed for r in msg.parse(frame(spark, bad)).collect()} == {True}
+    assert {r.malformed for r in msg.enrich_or_flag(frame(spark, bad), "p").collect()} == {True}
+    good = ['{"a":{"k":1,"k":2}}', ' {"msg_id":1} \n', "{ }"]
+    assert {r.malformed for r in msg.parse(frame(spark, good)).collect()} == {False}
+    assert {r.malformed for r in msg.enrich_or_flag(frame(spark, good), "p").collect()} == {False}
+
+
+def test_enrich_leaves_the_rest_of_the_text_alone(spark):
+    text = '{"n":123456789012345678901234567890123456789012345678,"d":1.10,"a":{"k":1,"k":2}}'
+    out = msg.enrich(frame(spark, [text]), "p", at=F.lit(5).cast("long")).first().value
+    assert out == text[:-1] + ',"process_time":5,"processor":"p"}'
 
 
 def test_enrich_leaves_out_malformed(spark):

@@ -11,7 +11,7 @@ from oncemore.sinks.tables import read_snapshots
 from oncemore.sources import eventlog
 from oncemore.sources.topics import read_message_files
 from oncemore.streaming import delivery, state
-from tests.helpers import DATA, rows
+from tests.helpers import DATA, DELIVERY, rows
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +54,8 @@ def test_stream_fold_equals_batch_fold(spark, log, message_files, tmp_path):
     assert folded(delivery.current_metrics(spark, table)) == want
 
     # A batch written a second time, as after a failure.
-    again = spark.read.parquet(f"{table}/batch_id=2").collect()
-    state.write_batch(spark.createDataFrame(again, spark.read.parquet(f"{table}/batch_id=2").schema), table, 2)
+    again = spark.read.parquet(f"{table}/generation=1/batch_id=2").collect()
+    state.write_batch(spark.createDataFrame(again, spark.read.parquet(f"{table}/generation=1/batch_id=2").schema), table, 2)
     assert folded(delivery.current_metrics(spark, table)) == want
 
 
@@ -66,7 +66,7 @@ def test_compacted_table_goes_on(spark, log, message_files, tmp_path):
     want = folded(fold(log))
     assert folded(delivery.current_metrics(spark, compacted)) == want
     # The last batch again, and then one that changes a single message.
-    state.write_batch(spark.read.parquet(f"{table}/batch_id=3"), compacted, 3)
+    state.write_batch(spark.read.parquet(f"{table}/generation=1/batch_id=3"), compacted, 3)
     assert folded(delivery.current_metrics(spark, compacted)) == want
     one = fold(log).limit(1).withColumn("process_count", F.lit(99).cast("long"))
     state.write_batch(one.select(*METRICS.names), compacted, 4)
@@ -111,7 +111,7 @@ def test_second_counts_in_append_mode(spark, log, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(files)
     out = str(tmp_path / "seconds")
     (
-        delivery.second_counts_stream(stream)
+        delivery.second_counts_stream(stream, lateness="10 seconds")
         .writeStream.outputMode("append")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
@@ -122,25 +122,67 @@ def test_second_counts_in_append_mode(spark, log, tmp_path):
     assert sorted(rows(spark.read.parquet(out))) == sorted(rows(want))
 
 
-def test_first_deliveries(spark, log, message_files, tmp_path):
-    out = str(tmp_path / "first")
+def out_of_order(spark, tmp_path, data, schema):
+    """A stream of the rows, one per micro-batch, in the order given."""
+    path = str(tmp_path / "rows")
+    for row in data:
+        spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LATE = [("a", 1, 0, 90_000, "x"), ("a", 2, 0, 5_000, "y"), ("a", 1, 0, 2_000, "first"), ("a", 1, 0, 300_000, "z")]
+LATE_SCHEMA = DELIVERY + ", note string"
+
+
+def test_first_deliveries_whatever_the_order(spark, tmp_path):
+    stream = out_of_order(spark, tmp_path, LATE, LATE_SCHEMA)
+    table = str(tmp_path / "first")
+    delivery.start_first_deliveries(stream, table, str(tmp_path / "checkpoint"), every=None).awaitTermination()
+    got = state.latest_rows(spark, table, stream.schema, KEY)
+    assert sorted(rows(got)) == [("a", 1, 0, 2_000, "first"), ("a", 2, 0, 5_000, "y")]
+
+
+def test_late_deliveries_count(spark, tmp_path):
+    """Deliveries far behind the newest, and a message that moves to a later second."""
+    stream = out_of_order(spark, tmp_path, LATE, LATE_SCHEMA)
+    table = str(tmp_path / "metrics")
+    delivery.start_fold(stream, table, str(tmp_path / "checkpoint"), every=None).awaitTermination()
+    got = delivery.current_second_counts(spark, table).select("job_type", "second", "messages")
+    assert sorted(rows(got)) == [("a", 5, 1), ("a", 300, 1)]
+
+    counts = delivery.second_counts_stream(stream)
+    seconds = str(tmp_path / "seconds")
+    state.start_table(counts, seconds, str(tmp_path / "checkpoint2"), every=None).awaitTermination()
+    got = state.latest_rows(spark, seconds, counts.schema, ["job_type", "second"])
+    assert sorted(rows(got)) == [("a", 2, 1), ("a", 5, 1), ("a", 90, 1), ("a", 300, 1)]
+
+
+def test_new_checkpoint_fills_a_new_generation(spark, log, message_files, tmp_path):
+    table = str(tmp_path / "metrics")
+    part = str(tmp_path / "part")
+    log.where("msg_id % 2 = 0").write.parquet(part)
+    delivery.start_fold(
+        spark.readStream.schema(log.schema).parquet(part), table, str(tmp_path / "one"), every=None
+    ).awaitTermination()
+    delivery.start_fold(stream_of(spark, message_files), table, str(tmp_path / "two"), every=None).awaitTermination()
+    assert folded(delivery.current_metrics(spark, table)) == folded(fold(log))
+    assert state.newest_generation(spark, table) == 2
+    # Each checkpoint keeps its own.
+    assert state.generation_of(spark, table, str(tmp_path / "one")) == 1
+    assert state.generation_of(spark, table, str(tmp_path / "two")) == 2
+
+
+def test_bounded_state_is_a_choice(spark, tmp_path):
+    stream = out_of_order(spark, tmp_path, LATE[:2], LATE_SCHEMA)
+    out = str(tmp_path / "out")
     (
-        delivery.first_deliveries(stream_of(spark, message_files), "1 hour")
+        delivery.deliveries_within(stream, "1 hour")
         .writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
         .start(out)
         .awaitTermination()
     )
-    got = rows(spark.read.parquet(out).select("job_type", "msg_id"))
-    assert len(got) == len(set(got)) == fold(log).count()
-
-
-def test_hot_message_is_dropped_before_the_shuffle(spark):
-    import pandas as pd
-
-    hot = pd.DataFrame({"job_type": "a", "msg_id": [1] * 5 + [2], "create_time": 0, "out_time": [5, 4, 3, 9, 3, 1]})
-    (kept,) = delivery._one_per_message(iter([hot]))
-    assert sorted(zip(kept.msg_id, kept.out_time)) == [(1, 3), (2, 1)]
+    assert spark.read.parquet(out).count() == 2
 
 
 def test_enrich_stream(spark, tmp_path):
@@ -170,7 +212,7 @@ def test_snapshot_per_batch(spark, log, message_files, tmp_path):
     want = snapshots.snapshot_rows(fold(log), "").drop("id", "snapshot_time", "note")
     assert sorted(rows(final)) == sorted(rows(want))
     # Numbering a batch again starts where it did before.
-    assert snapshots.last_id(spark, table, before_batch=2) == taken.where("note in ('window 1', 'window 2')").count()
+    assert snapshots.last_id(spark, table, before=(1, 2)) == taken.where("note in ('window 1', 'window 2')").count()
 
 
 def test_shared_dir_follows_the_session(spark):

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from oncemore.llm.boilerplate import op10_boilerplate
 from oncemore.llm.decontaminate import op5_decontamination
 from oncemore.llm.hmm import op4_hmm
-from oncemore.llm.hostrules import op3_host_rules
+from oncemore.llm.hostrules import MOST_FAILURES, op3_host_rules
+from oncemore.llm.hostrules import RULES as HOST_RULES
 from oncemore.llm.langid import op1_language_id
 from oncemore.llm.mixing import op7_mixing
-from oncemore.llm.secrets import op6_secrets
+from oncemore.llm.secrets import RULES, op6_secrets
 from oncemore.llm.simhash import op9_simhash
 from oncemore.llm.suffixdedup import op8_suffix_dedup
 from oncemore.llm.toxicity import op2_toxicity
@@ -30,5 +31,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boilerplate": op10_boilerplate,
 }
 
-#: What these compute lies beyond SQL; tests/llm compares each with a plain version.
-SQL: dict[str, str] = {}
+
+def _secrets_sql() -> str:
+    """The base spans and the added ones: texts are split around marked matches, as lengths give the places."""
+    branches = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        marked = f"regexp_replace(safe, '{pattern}', chr(1) || '\\0' || chr(2), 'g')"
+        branches.append(f"""
+  SELECT rid, '{rule.kind}' AS kind, {rank} AS rank, parts, i, parts[i] AS found
+  FROM (SELECT rid, parts, unnest(range(2, len(parts) + 1, 2)) AS i
+        FROM (SELECT rid, string_split(replace({marked}, chr(2), chr(1)), chr(1)) AS parts FROM texts))
+  WHERE length(regexp_extract(parts[i], '{pattern}', {rule.value})) >= {rule.least}""")
+    base = sum(r.base for r in RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    text = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank"
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS safe
+  FROM documents
+),
+matches AS ({" UNION ALL ".join(branches)}),
+spans AS (
+  SELECT rid, kind, rank, start, start + length(found) AS stop
+  FROM (SELECT *, CAST(coalesce(list_sum([length(x) FOR x IN parts[:i - 1]]), 0) AS BIGINT) AS start FROM matches)
+)
+SELECT doc_id, {counts},
+       sha256(coalesce(string_agg({text}) FILTER (rank < {base}), '')) AS base_sha256,
+       coalesce(string_agg({text}), '') AS spans
+FROM texts LEFT JOIN spans USING (rid) GROUP BY rid, doc_id"""
+
+
+def _host_rules_sql() -> str:
+    failed = ", ".join(f"sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS {r}" for r, sql in HOST_RULES.items())
+    sums = ", ".join(f"sum({r}) AS {r}, sum({r} * {r} / n::DOUBLE) AS {r}_sq" for r in HOST_RULES)
+    spread = "(n - nn / n::DOUBLE)"
+    sizes, rates = [], []
+    for r in HOST_RULES:
+        mean = f"({r} / n::DOUBLE)"
+        noise = f"({mean} * (1 - {mean}))"
+        variance = f"(CASE WHEN {spread} > 0 THEN ({r}_sq - n * {mean} * {mean} - (hosts - 1) * {noise}) / {spread} ELSE 0 END)"
+        size = f"CASE WHEN {variance} > 0 THEN {noise} / {variance} - 1 WHEN hosts > 1 AND {noise} > 0 THEN 1000 ELSE 2 END"
+        sizes.append(f"least(greatest({size}, 2), 1000) AS {r}_size")
+        sizes.append(f"least(greatest({mean}, 0.5::DOUBLE / (n + 1)), 1 - 0.5::DOUBLE / (n + 1)) AS {r}_mean")
+        rates.append(f"(h.{r} + {r}_mean * {r}_size) / (h.n + {r}_size)")
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+windows AS (
+  SELECT rid, i, words[i:i + 7] AS run
+  FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM texts)
+),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, run) > 1),
+covered AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+),
+measured AS (
+  SELECT rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)
+),
+hosts AS (SELECT source, count(*) AS n, {failed} FROM measured GROUP BY source),
+totals AS (SELECT count(*) AS hosts, sum(n) AS n, sum(n * n) AS nn, {sums} FROM (SELECT * FROM hosts)),
+fitted AS (SELECT {", ".join(sizes)} FROM totals),
+verdicts AS (SELECT source, greatest({", ".join(rates)}) <= {MOST_FAILURES} AS host_passes FROM hosts h, fitted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND host_passes AS kept, host_passes
+FROM (SELECT *, {HOST_RULES["short"]} OR {HOST_RULES["repeated"]} AS base_failed FROM measured) m
+JOIN verdicts v ON m.source IS NOT DISTINCT FROM v.source"""
+
+
+#: The others go beyond SQL (trained models, random draws, closures over links, byte hashes); tests/llm
+#: compares each with a plain version.
+SQL: dict[str, str] = {"op3_host_rules": _host_rules_sql(), "op6_secrets": _secrets_sql()}

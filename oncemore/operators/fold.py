@@ -12,7 +12,8 @@ KEY = ("job_type", "msg_id")
 
 def fold(deliveries: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """One row per key: ``event_time`` of the first delivery, ``out_time`` and
-    ``latency`` of the last, and how many deliveries there were.
+    ``latency`` of the last, how many deliveries there were, and the ``out_time``
+    of the first as ``first_out_time``.
 
     Every aggregate combines before the shuffle, so a message redelivered any
     number of times costs one row per task. Runs whose message ids restart are
@@ -24,4 +25,5 @@ def fold(deliveries: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
         F.max("out_time").alias("out_time"),
         F.max_by(F.col("out_time") - F.col("create_time"), order).alias("latency"),
         F.count("*").alias("process_count"),
+        F.min("out_time").alias("first_out_time"),
     )

@@ -229,17 +229,15 @@ def row_count(metrics: DataFrame, job_type: str | None = None) -> DataFrame:
     return _named(metrics, job_type, None).agg(F.count("*").alias("n"))
 
 
-def arrivals_between(deliveries: DataFrame, after_ms: int, until_ms: int) -> DataFrame:
-    """Per job, the messages first delivered in ``(after_ms, until_ms]``, and
-    whether there were any. Reads deliveries: a metrics row no longer knows when
-    its message first arrived."""
-    first = (
-        deliveries.where(F.col("out_time") <= until_ms)
-        .groupBy("job_type", "msg_id")
-        .agg(F.min("out_time").alias("first_out"))
+def arrivals_between(metrics: DataFrame, after_ms: int, until_ms: int) -> DataFrame:
+    """Per job that has a message first delivered until ``until_ms``: the messages
+    first delivered in ``(after_ms, until_ms]``, and whether there were any."""
+    new = F.count_if(F.col("first_out_time") > after_ms)
+    return (
+        metrics.where(F.col("first_out_time") <= until_ms)
+        .groupBy("job_type")
+        .agg(new.alias("new_messages"), (new > 0).alias("flowing"))
     )
-    new = F.count_if(F.col("first_out") > after_ms)
-    return first.groupBy("job_type").agg(new.alias("new_messages"), (new > 0).alias("flowing"))
 
 
 def delivery_stats(deliveries: DataFrame, by: Sequence[str] = JOB) -> DataFrame:

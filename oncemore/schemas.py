@@ -41,6 +41,7 @@ METRICS = _struct(
     out_time=LongType,
     latency=LongType,
     process_count=LongType,
+    first_out_time=LongType,
 )
 
 # One row per job in every snapshot of the statistics.

@@ -11,7 +11,7 @@ EAGER = {n for n in QUERIES if n.startswith("stream_") or "snapshot" in n or n i
 EAGER -= {"snapshot_series"}
 ONE_SCAN = [
     "fold_metrics", "experiment_stats", "latency_percentiles", "nearest_rank_percentiles", "snapshot_series",
-    "duplicates", "latency_distributions", "throughput_per_second", "arrivals_between", "message_metrics",
+    "duplicates", "latency_distributions", "throughput_per_second", "message_metrics",
 ]
 
 
@@ -37,6 +37,11 @@ def test_only_needed_columns_are_read(spark):
     assert "EqualTo(event_type,click)" in plan
 
 
+def test_arrivals_are_a_filter_on_the_stored_metrics(spark):
+    plan = plan_of(QUERIES["arrivals_between"](spark, DATA))
+    assert "LessThanOrEqual(first_out_time" in plan and plan.count("Exchange") == 1 and "msg_id" not in plan
+
+
 def test_messages_are_parsed_once_per_stage(spark):
     assert plan_of(QUERIES["parsed_messages"](spark, DATA)).count("from_json") == 1
     # Once to enrich and once to collect; besides, what has the added fields already is written anew.

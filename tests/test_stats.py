@@ -92,7 +92,7 @@ def test_duplicates_order_and_prefix(spark):
 
 def test_arrivals_count_first_deliveries_only(spark):
     log = spark.createDataFrame([("a", 1, 0, 10), ("a", 1, 0, 25), ("a", 2, 0, 22), ("b", 1, 0, 5), ("b", 2, 0, 99)], DELIVERY)
-    assert sorted(rows(stats.arrivals_between(log, 20, 30))) == [("a", 1, True), ("b", 0, False)]
+    assert sorted(rows(stats.arrivals_between(fold(log), 20, 30))) == [("a", 1, True), ("b", 0, False)]
 
 
 def test_seconds_round_down(spark):

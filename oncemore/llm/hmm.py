@@ -39,7 +39,9 @@ START_TEXTS, START_PASSES = 400, 20
 #: Weight of the classes' corpus shares in a state's.
 PRIOR = 50.0
 #: Tokens that a task handles together, unless one text is longer.
-TOKENS = 2_000_000
+TOKENS = 1_000_000
+#: Tokens whose transitions are added up at once.
+BLOCK = 100_000
 #: The token at the end of a text. No word is empty.
 END = ""
 
@@ -198,12 +200,13 @@ class Lattice:
         self.active = np.searchsorted(-ordered, -np.arange(steps), side="left")
         self.offset = np.concatenate(([0], np.cumsum(self.active)))
         t = np.repeat(np.arange(steps), self.active)
-        self.text = np.arange(len(t)) - self.offset[t]
+        self.text = (np.arange(len(t)) - self.offset[t]).astype(np.int32)
         begins = (np.cumsum(lengths) - lengths)[self.order]
         flat = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
-        self.classes = flat[begins[self.text] + t].astype(np.int64)
+        self.classes = flat[begins[self.text] + t]
         self.later = np.arange(self.active[0] if steps else 0, len(t))
         self.before = self.offset[t[self.later] - 1] + self.text[self.later]
+        del t, flat
 
     def forward(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward probabilities, the scales, and the emissions, token by token."""
@@ -242,9 +245,15 @@ class Lattice:
             b = emit[now] * beta[now]
             b /= scale[now][:, None]
             beta[self.offset[t - 1] : self.offset[t - 1] + n] = b @ back
-        right = emit[self.later] * beta[self.later] / scale[self.later][:, None]
-        moves = p.step * (alpha[self.before].T @ right).astype(np.float64)
-        gamma = alpha * beta
+        moves = np.zeros_like(p.step)
+        for at in range(0, len(self.later), BLOCK):
+            here, left = self.later[at : at + BLOCK], self.before[at : at + BLOCK]
+            right = emit[here] * beta[here]
+            right /= scale[here][:, None]
+            moves += alpha[left].T @ right
+        moves *= p.step
+        gamma = alpha
+        gamma *= beta
         first = gamma[: self.active[0]].sum(0, dtype=np.float64) if len(self.active) else np.zeros(len(p.start))
         kinds = np.array(
             [np.bincount(self.classes, weights=gamma[:, k], minlength=p.emit.shape[1]) for k in range(len(p.start))]

@@ -116,6 +116,12 @@ def _stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_metrics(spark, path)
 
 
+def _wide_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values spread over 10**15, nearly all of them different."""
+    wide = _metrics(spark, sf_dir).withColumn("wide", F.expr("(msg_id * 7919L % 1000003L) * 1000000007L - latency"))
+    return nearest_rank_percentiles(wide, ["job_type"], "wide", (1, 25, 50, 75, 99))
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From stored metrics: the filter on the first arrival reaches the scan."""
     path = shared_dir(spark, "metrics")
@@ -292,6 +298,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nearest_rank_percentiles": _of_metrics(
             nearest_rank_percentiles, ["job_type"], "latency", (1, 25, 50, 75, 90, "99.9")
         ),
+        "wide_percentiles": _wide_percentiles,
         "throughput_per_second": _of_metrics(stats.throughput_per_second),
         "throughput_of_prefix": _of_metrics(stats.throughput_per_second, job_prefix="s", last=10),
         "second_counts": _of_metrics(stats.second_counts),
@@ -558,6 +565,11 @@ WITH {_METRICS}, {_SECONDS},
 newest AS (SELECT * FROM seconds ORDER BY second DESC, job_type LIMIT 100)
 SELECT job_type, second, make_timestamp(second * 1000000) AS ts, messages
 FROM newest WHERE job_type LIKE 's%' ORDER BY second DESC, job_type LIMIT 10""",
+        "wide_percentiles": f"""
+WITH {_METRICS},
+wide AS (SELECT * REPLACE ((msg_id * 7919 % 1000003) * 1000000007 - latency AS latency) FROM metrics),
+{_ranked("wide", "job_type", {f"p{p}": (p, 100) for p in (1, 25, 50, 75, 99)})}
+SELECT * FROM pcts""",
         "second_counts": f"WITH {_METRICS}, {_SECONDS} SELECT * FROM seconds",
         "duplicates": f"""
 WITH {_METRICS}

@@ -6,7 +6,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1000
+# Values in a bucket, buckets in a bucket of buckets, and so on; three levels of
+# buckets leave at most 20,000 of the largest for 64-bit values.
+FAN = 100_000
+LEVELS = 3
 
 
 def ranked_histogram(
@@ -24,58 +27,60 @@ def ranked_histogram(
     ``weight`` names a count column when the rows are already counted. Missing
     values rank first, as in an ascending sort, and do not enter the mean.
 
-    A group may hold a third of all rows, so no task sees a whole group. The
-    values are counted at two levels at once, single values and buckets of
-    ``BUCKET`` values. Running counts are taken over the buckets of a group and
-    over the values of a bucket, then added. Both windows see counts, not rows.
+    A group may hold a third of all rows, and its values may lie anywhere, so no
+    task sees a whole group. Rows are first counted by value. The counts are
+    added up in a tree of buckets; running counts are taken among the children
+    of a bucket, at most some 200,000, and handed down level by level.
     """
     by = list(by)
-    level = [*by, "_bucket"]
+    keys = [f"_b{k}" for k in range(LEVELS, 0, -1)] + [value]
     count = F.count("*") if weight is None else F.sum(weight)
-    rest = F.col(value) % BUCKET if weight is None else F.col(value) % BUCKET * F.col(weight)
-    counted = (
-        rows.withColumn("_bucket", F.expr(f"{value} div {BUCKET}L"))
-        .groupingSets([[*level, value], level], *level, value)
-        .agg(
-            F.grouping(value).alias("_whole"),
-            count.alias("n"),
-            F.sum(rest).alias("_rest"),
-            *[c.alias(name) for name, c in (extras or {}).items()],
-        )
-    )
-    whole = F.col("_whole") == 1
-
-    # Bucket rows of a group form one partition, the values of a bucket another.
-    part = Window.partitionBy(*by, "_whole", F.when(~whole, F.col("_bucket")))
-    running = part.orderBy("_bucket", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sum_of_bucket = (
-        F.col("n").cast("decimal(19,0)") * (F.col("_bucket") * BUCKET).cast("decimal(19,0)") + F.col("_rest")
-    )
+    riders = dict(extras or {})
+    number = F.col(value).cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
+    counted = rows.groupBy(*by, value).agg(count.alias("n"), *[c.alias(name) for name, c in riders.items()])
     counted = counted.withColumns(
-        {
-            "_running": F.sum("n").over(running),
-            "_total": F.sum("n").over(part),
-            "_sum": F.sum(F.when(whole, sum_of_bucket)).over(part),
-            "_valued": F.sum(F.when(F.col("_bucket").isNotNull(), F.col("n"))).over(part),
-        }
+        {f"_b{k}": F.expr(f"{value} div {FAN**k}L") for k in range(1, LEVELS + 1)}
+        | {"_sum": number, "_valued": F.when(F.col(value).isNotNull(), F.col("n"))}
+    )
+    # Level 0 are the values, level LEVELS the largest buckets.
+    level = sum((F.grouping(k).cast("int") for k in keys[2:]), F.grouping(keys[1]).cast("int"))
+    sets = [[*by, *keys[: k + 1]] for k in range(LEVELS + 1)]
+    tree = counted.groupingSets(sets, *by, *keys).agg(
+        level.alias("_level"),
+        F.sum("n").alias("n"),
+        F.sum("_sum").alias("_sum"),
+        F.sum("_valued").alias("_valued"),
+        *[F.max(name).alias(name) for name in riders],
     )
 
-    # Hand the bucket's figures down to its values.
-    bucket = Window.partitionBy(*level)
-
-    def from_bucket(c: Column) -> Column:
-        return F.max(F.when(whole, c)).over(bucket)
-
+    # The children of one bucket.
+    parent = [F.when(F.col("_level") < LEVELS - j, F.col(k)) for j, k in enumerate(keys[:-1])]
+    family = Window.partitionBy(*by, "_level", *parent)
+    running = family.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tree = tree.withColumns({
+        "_before": F.sum("n").over(running) - F.col("n"),
+        "total": F.sum("n").over(family),
+        "mean": F.try_divide(F.sum("_sum").over(family).cast("double"), F.sum("_valued").over(family)),
+    })
+    for upper in range(LEVELS, 0, -1):
+        # A bucket together with its children; all other rows stay by themselves.
+        own = F.col("_level").isin(upper, upper - 1)
+        held = [F.col(k) if j <= LEVELS - upper else F.when(~own, F.col(k)) for j, k in enumerate(keys)]
+        bucket = Window.partitionBy(*by, F.when(~own, F.col("_level")), *held)
+        child = F.col("_level") == upper - 1
+
+        def from_bucket(c: str, upper: int = upper, bucket=bucket) -> Column:
+            return F.max(F.when(F.col("_level") == upper, F.col(c))).over(bucket)
+
+        tree = tree.withColumns({
+            "_before": F.when(child, F.col("_before") + from_bucket("_before")).otherwise(F.col("_before")),
+            "total": F.when(child, from_bucket("total")).otherwise(F.col("total")),
+            "mean": F.when(child, from_bucket("mean")).otherwise(F.col("mean")),
+        })
     return (
-        counted.withColumns(
-            {
-                "upto": F.col("_running") + from_bucket(F.col("_running") - F.col("n")),
-                "total": from_bucket(F.col("_total")),
-                "mean": from_bucket(F.try_divide(F.col("_sum").cast("double"), F.col("_valued"))),
-            }
-        )
-        .where(~whole)
-        .select(*by, value, "n", *(extras or {}), "upto", "total", "mean")
+        tree.where(F.col("_level") == 0)
+        .withColumn("upto", F.col("_before") + F.col("n"))
+        .select(*by, value, "n", *riders, "upto", "total", "mean")
     )
 
 

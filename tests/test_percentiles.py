@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from oncemore.operators.percentiles import nearest_rank_percentiles, ranked_histogram
+from oncemore.operators.percentiles import FAN, LEVELS, nearest_rank_percentiles, ranked_histogram
 from tests.helpers import METRIC, metrics_with_latencies, rows
 
 PCTS = (1, 50, 95, 99, "99.9", 100)
@@ -56,6 +57,22 @@ def test_histogram_runs_up_to_the_total(spark):
     assert got[0].mean == pytest.approx(sum(values) / 5000, rel=1e-12)
 
 
+def test_no_task_sees_all_values_of_a_group(spark):
+    """Spread over 10**15, as many values as rows: still no family of more than a few values."""
+    rng = random.Random(5)
+    values = sorted({rng.randrange(-(10**15), 10**15) for _ in range(3000)})
+    got = ranked_histogram(metrics_with_latencies(spark, values), ["job_type"], "latency").orderBy("latency").collect()
+    assert [(r.latency, r.upto) for r in got] == [(v, k + 1) for k, v in enumerate(values)]
+    for levels in range(1, LEVELS + 1):
+        # Children of a bucket of this level: distinct buckets of the level below.
+        below = {int(v / FAN ** (levels - 1)) for v in values}
+        families = Counter(int(b / FAN) for b in below)
+        assert max(families.values()) <= 2 * FAN
+    extremes = [-(2**63), -1, 0, 1, 2**63 - 1]
+    got = ranked_histogram(metrics_with_latencies(spark, extremes), ["job_type"], "latency").collect()
+    assert sorted((r.latency, r.upto) for r in got) == [(v, k + 1) for k, v in enumerate(extremes)]
+
+
 def test_weighted_rows(spark):
     plain = metrics_with_latencies(spark, [5] * 7 + [2000] * 2 + [2001] * 4)
     counted = spark.createDataFrame([("a", 5, 7), ("a", 2000, 2), ("a", 2001, 4)], "job_type string, latency long, k long")

@@ -122,6 +122,13 @@ def _wide_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rank_percentiles(wide, ["job_type"], "wide", (1, 25, 50, 75, 99))
 
 
+def _stats_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics keyed by run as well; redeliveries fall into the other run."""
+    log = _log(spark, sf_dir).withColumn("run", F.expr("out_time div 5000L % 2L"))
+    report = stats.experiment_stats(fold(log, ["job_type", "run", "msg_id"]))
+    return report.select("job_type", "total_messages", "unique_messages", "duplicate_messages", "p95_latency_ms")
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From stored metrics: the filter on the first arrival reaches the scan."""
     path = shared_dir(spark, "metrics")
@@ -294,6 +301,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "comparison": _of_metrics(stats.comparison),
         "comparison_of_prefix": _of_metrics(stats.comparison, job_prefix="s"),
         "experiment_stats": _of_metrics(stats.experiment_stats),
+        "experiment_stats_of_runs": _stats_of_runs,
         "latency_percentiles": _of_metrics(stats.latency_percentiles),
         "nearest_rank_percentiles": _of_metrics(
             nearest_rank_percentiles, ["job_type"], "latency", (1, 25, 50, 75, 90, "99.9")
@@ -570,6 +578,17 @@ WITH {_METRICS},
 wide AS (SELECT * REPLACE ((msg_id * 7919 % 1000003) * 1000000007 - latency AS latency) FROM metrics),
 {_ranked("wide", "job_type", {f"p{p}": (p, 100) for p in (1, 25, 50, 75, 99)})}
 SELECT * FROM pcts""",
+        "experiment_stats_of_runs": f"""
+WITH {_LOG},
+metrics AS (
+  SELECT job_type, out_time // 5000 % 2 AS run, msg_id, arg_max(out_time - create_time, out_time) AS latency,
+         count(*) AS process_count
+  FROM deliveries GROUP BY ALL
+),
+{_ranked("metrics", "job_type", {"p95_latency_ms": (95, 100)})}
+SELECT job_type, count(*) AS total_messages, count(DISTINCT msg_id) AS unique_messages,
+       count(*) FILTER (process_count > 1) AS duplicate_messages, max(p95_latency_ms) AS p95_latency_ms
+FROM metrics JOIN pcts USING (job_type) GROUP BY job_type""",
         "second_counts": f"WITH {_METRICS}, {_SECONDS} SELECT * FROM seconds",
         "duplicates": f"""
 WITH {_METRICS}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oncemore.functions.columns import arrival_order, percent, per_second
-from oncemore.plans.stats import full_stats
+from oncemore.plans.stats import full_stats, with_unique
 from oncemore.schemas import SNAPSHOTS
 from oncemore.sinks.tables import read_snapshots, write_snapshots
 
@@ -21,7 +21,7 @@ def _snapshot_columns(stats: DataFrame, time: Column, note: Column, numbering: l
         "id": F.row_number().over(Window.orderBy(*numbering)) + (first_id - 1),
         "snapshot_time": time,
         "total_messages": F.col("total"),
-        "unique_messages": F.col("total"),
+        "unique_messages": F.col("unique"),
         "avg_latency": F.round("mean", 2),
         "min_latency": F.col("shortest"),
         "max_latency": F.col("longest"),
@@ -48,7 +48,8 @@ def snapshot_rows(
 ) -> DataFrame:
     """The rows of one snapshot, numbered by job from ``first_id``."""
     time = F.date_trunc("second", F.current_timestamp()) if snapshot_time is None else snapshot_time
-    return _snapshot_columns(full_stats(metrics), time, F.lit(note), ["job_type"], first_id)
+    stats = with_unique(full_stats(metrics), metrics, ["job_type"])
+    return _snapshot_columns(stats, time, F.lit(note), ["job_type"], first_id)
 
 
 def last_id(spark: SparkSession, path: str, before: tuple[int, int] | None = None) -> int:
@@ -130,7 +131,7 @@ def snapshot_series(
         "first_out": F.min("first_out"),
         "last_out": F.max("last_out"),
     }
-    stats = full_stats(at_cut, ("cut", "job_type"), riders, weight="messages")
+    stats = full_stats(at_cut, ("cut", "job_type"), riders, weight="messages").withColumn("unique", F.col("total"))
     time = F.timestamp_millis(F.lit(start_ms) + F.col("cut") * width)
     label = F.concat(F.lit(note + " "), (F.col("cut") + 1).cast("string"))
     return _snapshot_columns(stats, time, label, ["cut", "job_type"], first_id)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from oncemore.functions.columns import per_second, percent, second_of
 from oncemore.operators.percentiles import mean, percentile, ranked_histogram, stddev_pop
+from oncemore.schemas import METRICS
 
 JOB = ("job_type",)
 
@@ -110,15 +111,26 @@ def full_stats(
     )
 
 
-def experiment_stats(metrics: DataFrame, by: Sequence[str] = JOB, job_prefix: str | None = None) -> DataFrame:
-    """The full report of a job: volume, latency, duplicates and throughput.
+def with_unique(report: DataFrame, metrics: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``report`` with the number of distinct messages of each group as ``unique``.
 
-    A metrics row is one message, so messages and unique messages agree.
+    A metrics row is one message of its key. So messages and distinct messages
+    agree, unless the metrics have more key columns (a run, say) than ``by``:
+    then the ids are counted.
     """
-    return full_stats(_of(metrics, job_prefix), by).select(
+    runs = [c for c in metrics.columns if c not in METRICS.names and c not in by]
+    if not runs and "job_type" in by:
+        return report.withColumn("unique", F.col("total"))
+    return report.join(metrics.groupBy(*by).agg(F.count_distinct("msg_id").alias("unique")), list(by))
+
+
+def experiment_stats(metrics: DataFrame, by: Sequence[str] = JOB, job_prefix: str | None = None) -> DataFrame:
+    """The full report of a job: volume, latency, duplicates and throughput."""
+    metrics = _of(metrics, job_prefix)
+    return with_unique(full_stats(metrics, by), metrics, by).select(
         *by,
         F.col("total").alias("total_messages"),
-        F.col("total").alias("unique_messages"),
+        F.col("unique").alias("unique_messages"),
         percent(F.col("duplicates"), F.col("total"), 2).alias("duplicate_share_pct"),
         F.round("mean", 2).alias("avg_latency_ms"),
         F.col("shortest").alias("min_latency_ms"),

@@ -372,7 +372,10 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> Da
     rows = docs.select(
         "doc_id", _doc(F.col("doc_id")).alias("own"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha"), *_key(text)
     )
-    cleaned = blobs.select("k1", "k2", F.col("doc").alias("least")).join(cleaned.drop("doc"), ["k1", "k2"], "left")
+    # A narrow table: unlike the bucketed one it lets Spark split the rows of a text with very many copies.
+    cleaned = stored(
+        blobs.select("k1", "k2", F.col("doc").alias("least")).join(cleaned.drop("doc"), ["k1", "k2"], "left"), "cleaned"
+    )
     joined = rows.join(cleaned, ["k1", "k2"])
     copy = (F.col("own") > F.col("least")) & (F.col("n_bytes") >= length)
     return joined.select(

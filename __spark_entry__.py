@@ -80,11 +80,18 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_series(_log(spark, sf_dir), **SERIES)
 
 
+# Snapshot tables by application and input folder: the queries on snapshots share one.
+_TABLES: dict[tuple[str, str], str] = {}
+
+
 def _snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored snapshot table, as the queries on snapshots expect it."""
-    path = shared_dir(spark, "snapshots")
-    write_snapshots(_series(spark, sf_dir), path)
-    return read_snapshots(spark, path)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = shared_dir(spark, "snapshots")
+        write_snapshots(_series(spark, sf_dir), path)
+        _TABLES[key] = path
+    return read_snapshots(spark, _TABLES[key])
 
 
 def _doubles(df: DataFrame) -> DataFrame:
@@ -146,8 +153,10 @@ def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several statistics joined in SQL."""
-    views.create_views(_metrics(spark, sf_dir))
+    """Several statistics of a stored table joined in SQL."""
+    path = shared_dir(spark, "metrics")
+    write_metrics(_metrics(spark, sf_dir), path)
+    views.create_views(read_metrics(spark, path))
     return spark.sql("""
         SELECT job_type, p99_latency_ms, duplicate_rate_pct, max_process_count
         FROM v_latency_percentiles JOIN v_comparison USING (job_type)

@@ -97,28 +97,31 @@ def hamming_links(
     segments: int = 3,
     radius: int | None = None,
     apart: str | None = None,
+    name: str = "fp",
 ) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct fingerprints (column ``fp``) that differ in at most ``distance`` bits.
 
+    ``a`` and ``b`` are the fingerprints, or their values of the column ``name``.
+
     ``radius`` is the ball's radius in a segment. By default it is the smallest
     with which no pair can be missed (``distance // number of segments``). With
     ``apart`` only pairs that differ in that column count.
     """
     parts = _segments(words, segments)
     radius = distance // len(parts) if radius is None else radius
-    keep = [apart] if apart else []
+    keep = [c for c in (apart, name) if c not in (None, "fp")]
     table = _table(fps, parts, *keep)
     masks = F.array(*(F.lit(m).cast("bigint") for m in ball(max(p[2] for p in parts), radius)))
     own = F.filter(masks, lambda m: F.col("val").bitwiseAND(m).bitwiseAND(-m) == 0)
     probes = table.select(
-        F.col("fp").alias("a"),
+        F.col("fp").alias("fp_a"),
         F.col("seg").alias("seg_a"),
         "val",
-        *(F.col(k).alias("apart_a") for k in keep),
+        *(F.col(k).alias(f"{k}_a") for k in keep),
         F.explode(own).alias("mask"),
     )
     probes = probes.withColumns({"val_a": F.col("val").bitwiseXOR(F.col("mask")), "same": F.col("mask") == 0}).drop("val", "mask")
-    a, b = F.col("a"), F.col("fp")
+    a, b = F.col("fp_a"), F.col("fp")
     first = F.lit(len(parts))
     for k, p in reversed(list(enumerate(parts))):
         first = F.when(F.bit_count(_value(a, p).bitwiseXOR(_value(b, p))) <= radius, k).otherwise(first)
@@ -130,23 +133,23 @@ def hamming_links(
         & (first == F.col("seg"))
     )
     if apart:
-        met = met & (F.col("apart_a") != F.col(apart))
-    return probes.join(table, met).select("a", F.col("fp").alias("b"))
+        met = met & (F.col(f"{apart}_a") != F.col(apart))
+    return probes.join(table, met).select(F.col(f"{name}_a").alias("a"), F.col(name).alias("b"))
 
 
 def star_links(fps: DataFrame, distance: int, words: int, segments: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of each fingerprint and two of those with which it shares a segment's value, within ``distance``.
+    """Pairs ``a``, ``b`` (values of ``row``) of each fingerprint and two of those with which it shares a segment's value, within ``distance``.
 
     The two have the least and the greatest hash there. A group of any size
     gives twice as many pairs as it has members and segments, at most.
     """
     parts = _segments(words, segments)
-    table = _table(fps, parts)
-    own = F.struct(F.xxhash64("fp").alias("h"), "fp")
-    ends = table.groupBy("seg", "val").agg(F.min(own)["fp"].alias("lo"), F.max(own)["fp"].alias("hi")).where("lo <> hi")
-    met = table.join(ends, ["seg", "val"]).select("fp", F.explode(F.array("lo", "hi")).alias("b"))
-    met = met.where((F.col("fp") != F.col("b")) & (_distance(F.col("fp"), F.col("b"), words) <= distance))
-    return met.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    table = _table(fps, parts, "row")
+    own = F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("fp_b"), F.col("row").alias("row_b"))
+    ends = table.groupBy("seg", "val").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    met = table.join(ends, ["seg", "val"]).select("fp", "row", F.inline(F.array("lo", "hi")))
+    met = met.where((F.col("row") != F.col("row_b")) & (_distance(F.col("fp"), F.col("fp_b"), words) <= distance))
+    return met.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,14 +252,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     texts = docs.select("row", "text")
 
     def verified(links: DataFrame, name: str) -> DataFrame:
-        pairs = links.join(per_fp.toDF("a", "row_a"), "a").join(per_fp.toDF("b", "row_b"), "b")
-        return stored(similar(pairs.select("row_a", "row_b").toDF("a", "b"), texts, width, similarity), name)
+        return stored(similar(stored(links, "links"), texts, width, similarity), name)
 
-    stars = verified(stored(star_links(per_fp.select("fp"), DISTANCE, WORDS, SEGMENTS), "stars"), "star_pairs")
+    stars = verified(star_links(per_fp, DISTANCE, WORDS, SEGMENTS), "star_pairs")
     roots = stored(components(stars), "star_groups")
-    grouped = per_fp.join(roots.toDF("row", "root"), "row", "left").select("fp", F.coalesce("root", "row").alias("root"))
-    links = hamming_links(stored(grouped, "grouped"), DISTANCE, WORDS, SEGMENTS, RADIUS, apart="root")
-    pairs = verified(stored(links, "links"), "pairs")
+    grouped = per_fp.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    links = hamming_links(stored(grouped, "grouped"), DISTANCE, WORDS, SEGMENTS, RADIUS, apart="root", name="row")
+    pairs = verified(links, "pairs")
     root = components(pairs.union(roots.toDF("a", "b"))).toDF("least", "root")
     # Rows of one fingerprint are one group: 256 equal bits.
     comp = per_fp.withColumnRenamed("row", "least").join(root, "least", "left")

@@ -12,6 +12,7 @@ bit is 0), and a pair is reported by its first matching segment only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -210,8 +211,84 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     return grouped.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by five-word shingles: 256 bits, of which 44 may differ before the shingles are compared.
-WORDS, DISTANCE, SEGMENTS, RADIUS = 4, 44, 3, 1
+#: Stars of near duplicates by five-word shingles: 256 bits, of which 60 may differ before the shingles are compared.
+WORDS, DISTANCE, SEGMENTS = 4, 60, 3
+#: Shingles whose frequency is known to the search, at most; the others count as rare. Only the speed depends on it.
+COMMON = 250_000
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that recur most among texts looked at together, in order, and how often they do. At most ``COMMON``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            sets = [np.unique(shingle_hashes(text, width)) for text in as_bytes(part.column("text"))]
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            many = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+
+    each = docs.select("text").mapInArrow(of, "h bigint, n bigint")
+    top = each.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top["n"].to_numpy(np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set of ``shingles``, so many that a set as similar has one of its own among them."""
+    if not len(shingles):
+        return shingles
+    known, counts = common
+    times = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        times = np.where(known[at] == shingles, counts[at], 0)
+    n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, times))[:n]]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
+    """``row``, ``fp``, ``size`` (different shingles) and ``prefix`` of every text. ``common`` is a broadcast."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            fps, sizes, rare = [], [], []
+            for text in as_bytes(part.column("text")):
+                hashes = shingle_hashes(text, width)
+                different = np.unique(hashes)
+                fps.append(simhash(hashes, WORDS))
+                sizes.append(len(different))
+                rare.append(prefix(different, common.value, similarity).view(np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [part.column("row"), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "size", "prefix"])
+
+    schema = "row bigint, fp array<bigint>, size int, prefix array<bigint>"
+    return docs.select("row", "text").mapInArrow(of, schema)
+
+
+def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a``, ``b`` (``row``) of different ``root`` whose sets may be as similar; each pair once.
+
+    Two such sets share a shingle of their prefixes. Shingles that only one
+    root has meet nobody and go before the join. A pair counts under the first
+    shingle shared, where the places before it bound what can still be shared.
+    """
+    each = sets.select("row", "root", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    contested = each.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    met = each.join(contested.select("shingle"), "shingle", "left_semi").join(sets.select("row", "prefix"), "row")
+    met = stored(met, "contested")
+    one, two = (met.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in met.columns if c != "shingle")) for x in "ab")
+    left = [F.col(f"size_{x}") - F.col(f"pos_{x}") for x in "ab"]
+    least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    both = one.join(two, "shingle").where(
+        (F.col("row_a") < F.col("row_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
+        & (F.least(*left) >= least)
+        & (F.array_intersect("prefix_a", "prefix_b")[0] == F.col("shingle"))
+    )
+    return both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -235,30 +312,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     ``docs`` needs ``row``, a unique number. Texts count as near duplicates if
     the Jaccard similarity of their sets of ``width``-word shingles reaches
-    ``similarity``. Candidates are pairs whose 256-bit fingerprints share a
-    segment of 21 or 22 bits but for one bit and differ in at most 44 bits: at
-    similarity 0.8 three in four are found, at 0.85 more than nine in
-    ten, at 0.9 ninety-nine in a hundred. Of each group the smallest doc_id stays (null last), and of
+    ``similarity``. All such pairs are found: any two share one of their rarest
+    shingles (``prefix_links``). Of each group the smallest doc_id stays (null last), and of
     its rows the one with the smallest number. Texts without words (null, empty
     or blank) are copies of each other.
 
     A first round compares every text with two of each of its segments'
-    tables; a large group of variants mostly falls together there, with as many
+    tables (256-bit fingerprints); a large group of variants mostly falls together there, with as many
     comparisons as it has members. The search proper then leaves out pairs that
     are in one group already.
     """
-    ids = stored(fingerprints(docs, width, WORDS, keep="row"), "fingerprints")
-    per_fp = stored(ids.groupBy("fp").agg(F.min("row").alias("row")), "per_fp")
     texts = docs.select("row", "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    ids = stored(prefixes(texts, width, similarity, common), "prefixes")
+    per_fp = stored(ids.groupBy("fp").agg(F.min("row").alias("row")), "per_fp")
 
     def verified(links: DataFrame, name: str) -> DataFrame:
         return stored(similar(stored(links, "links"), texts, width, similarity), name)
 
     stars = verified(star_links(per_fp, DISTANCE, WORDS, SEGMENTS), "star_pairs")
     roots = stored(components(stars), "star_groups")
-    grouped = per_fp.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    links = hamming_links(stored(grouped, "grouped"), DISTANCE, WORDS, SEGMENTS, RADIUS, apart="root", name="row")
-    pairs = verified(links, "pairs")
+    sets = ids.join(per_fp.select("row"), "row", "left_semi").join(roots.toDF("row", "root"), "row", "left")
+    sets = stored(sets.withColumn("root", F.coalesce("root", "row")), "sets")
+    pairs = verified(prefix_links(sets, similarity), "pairs")
     root = components(pairs.union(roots.toDF("a", "b"))).toDF("least", "root")
     # Rows of one fingerprint are one group: 256 equal bits.
     comp = per_fp.withColumnRenamed("row", "least").join(root, "least", "left")

@@ -457,3 +457,31 @@ def test_pipeline(spark):
     insults = re.compile(r"\b(idiot|moron|stupid)\b", re.I)
     assert sum(len(insults.findall(r["text"])) > 2 for r in rows.values()) == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secret_scan", "mixing"]
+
+
+def shingle_set(text, width=5):
+    w = text.split()
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)}
+
+
+def test_all_near_duplicates(spark):
+    """Every isolated pair of a similarity of 0.8 or a little more is found, and none below."""
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts, want = [], []
+    for _ in range(150):
+        one = list(rng.choice(vocabulary, int(rng.integers(30, 300))))
+        two = one.copy()
+        # A run replaced at one end: shingles leave one by one, until the next would bring the pair below 0.8.
+        below = len(want) % 4 == 0
+        for k in range(len(two)):
+            last = two.copy()
+            two[k] = f"other{k}"
+            a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+        want.append(not below)
+        texts += [" ".join(one), " ".join(two if below else last)]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r["row"]: r["group"] for r in simhash.near_duplicates(docs).collect()}
+    assert [got[2 * g] == got[2 * g + 1] for g in range(len(want))] == want

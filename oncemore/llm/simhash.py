@@ -146,7 +146,7 @@ def star_links(fps: DataFrame, distance: int, words: int, segments: int) -> Data
     """
     parts = _segments(words, segments)
     table = _table(fps, parts, "row")
-    own = F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("fp_b"), F.col("row").alias("row_b"))
+    own = F.struct(F.xxhash64("fp", "row").alias("h"), F.col("fp").alias("fp_b"), F.col("row").alias("row_b"))
     ends = table.groupBy("seg", "val").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
     met = table.join(ends, ["seg", "val"]).select("fp", "row", F.inline(F.array("lo", "hi")))
     met = met.where((F.col("row") != F.col("row_b")) & (_distance(F.col("fp"), F.col("fp_b"), words) <= distance))
@@ -248,22 +248,26 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
-    """``row``, ``fp``, ``size`` (different shingles) and ``prefix`` of every text. ``common`` is a broadcast."""
+    """``row``, ``same``, ``fp``, ``size`` (different shingles) and ``prefix`` of every text. ``common`` is a broadcast.
+
+    ``same`` is a hash of 128 bits of the set of shingles.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            fps, sizes, rare = [], [], []
+            same, fps, sizes, rare = [], [], [], []
             for text in as_bytes(part.column("text")):
                 hashes = shingle_hashes(text, width)
                 different = np.unique(hashes)
+                same.append(xxhash.xxh3_128_digest(different.tobytes()))
                 fps.append(simhash(hashes, WORDS))
                 sizes.append(len(different))
                 rare.append(prefix(different, common.value, similarity).view(np.int64))
             longs = pa.list_(pa.int64())
-            columns = [part.column("row"), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "size", "prefix"])
+            columns = [pa.array(same, pa.binary()), pa.array(fps, longs), pa.array(sizes, pa.int32()), pa.array(rare, longs)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *columns], ["row", "same", "fp", "size", "prefix"])
 
-    schema = "row bigint, fp array<bigint>, size int, prefix array<bigint>"
+    schema = "row bigint, same binary, fp array<bigint>, size int, prefix array<bigint>"
     return docs.select("row", "text").mapInArrow(of, schema)
 
 
@@ -325,21 +329,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     texts = docs.select("row", "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     ids = stored(prefixes(texts, width, similarity, common), "prefixes")
-    per_fp = stored(ids.groupBy("fp").agg(F.min("row").alias("row")), "per_fp")
+    # Rows of one set of shingles are one group; all others are compared.
+    per_set = stored(ids.groupBy("same").agg(F.min("row").alias("row")), "per_set")
+    sets = ids.join(per_set.select("row"), "row", "left_semi").drop("same")
 
     def verified(links: DataFrame, name: str) -> DataFrame:
         return stored(similar(stored(links, "links"), texts, width, similarity), name)
 
-    stars = verified(star_links(per_fp, DISTANCE, WORDS, SEGMENTS), "star_pairs")
+    stars = verified(star_links(sets.select("fp", "row"), DISTANCE, WORDS, SEGMENTS), "star_pairs")
     roots = stored(components(stars), "star_groups")
-    sets = ids.join(per_fp.select("row"), "row", "left_semi").join(roots.toDF("row", "root"), "row", "left")
-    sets = stored(sets.withColumn("root", F.coalesce("root", "row")), "sets")
-    pairs = verified(prefix_links(sets, similarity), "pairs")
+    sets = sets.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    pairs = verified(prefix_links(stored(sets, "sets"), similarity), "pairs")
     root = components(pairs.union(roots.toDF("a", "b"))).toDF("least", "root")
-    # Rows of one fingerprint are one group: 256 equal bits.
-    comp = per_fp.withColumnRenamed("row", "least").join(root, "least", "left")
-    comp = comp.select("fp", F.coalesce("root", "least").alias("group"))
-    members = ids.join(comp, "fp").select("row", "group").join(docs.select("row", "doc_id"), "row")
+    comp = per_set.withColumnRenamed("row", "least").join(root, "least", "left")
+    comp = comp.select("same", F.coalesce("root", "least").alias("group"))
+    members = ids.join(comp, "same").select("row", "group").join(docs.select("row", "doc_id"), "row")
     best = members.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "row")).alias("best"))
     return members.join(best, "group").select("row", "doc_id", "group", (F.col("row") == F.col("best")["row"]).alias("keep"))
 

@@ -485,3 +485,14 @@ def test_all_near_duplicates(spark):
     docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
     got = {r["row"]: r["group"] for r in simhash.near_duplicates(docs).collect()}
     assert [got[2 * g] == got[2 * g + 1] for g in range(len(want))] == want
+
+
+def test_one_line_does_not_make_a_group(spark):
+    """Texts whose fingerprints are equal because one line makes up most of them are compared like any other."""
+    line = "this very line is in nearly all of them "
+    texts = [line * 20 + " ".join(f"own{k}x{j}" for j in range(20)) for k in range(12)]
+    texts += [texts[0], texts[0].upper()]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r["row"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert sorted(k for k, r in got.items() if r["keep"]) == list(range(12))
+    assert got[0]["group"] == got[12]["group"] == got[13]["group"]

@@ -257,10 +257,9 @@ def prefixes(docs: DataFrame, width: int, similarity: float, common) -> DataFram
         for part in chunks(batches, "text"):
             same, fps, sizes, rare = [], [], [], []
             for text in as_bytes(part.column("text")):
-                hashes = shingle_hashes(text, width)
-                different = np.unique(hashes)
+                different = np.unique(shingle_hashes(text, width))
                 same.append(xxhash.xxh3_128_digest(different.tobytes()))
-                fps.append(simhash(hashes, WORDS))
+                fps.append(simhash(different, WORDS))
                 sizes.append(len(different))
                 rare.append(prefix(different, common.value, similarity).view(np.int64))
             longs = pa.list_(pa.int64())

@@ -496,3 +496,21 @@ def test_one_line_does_not_make_a_group(spark):
     got = {r["row"]: r for r in simhash.near_duplicates(docs).collect()}
     assert sorted(k for k, r in got.items() if r["keep"]) == list(range(12))
     assert got[0]["group"] == got[12]["group"] == got[13]["group"]
+
+
+def test_repeats_do_not_hide_near_duplicates(spark):
+    """Texts that differ only in how often a line repeats are near duplicates, and have one fingerprint for the stars."""
+    rng = np.random.default_rng(19)
+    texts = []
+    for g in range(20):
+        text = [f"w{k}" for k in rng.integers(0, 3000, 209)]
+        # From the second time on, repeating the line adds no shingle.
+        line = [f"line{g}x{k}" for k in range(9)]
+        texts += [" ".join(text + line * 2), " ".join(text + line * 12)]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r["row"]: r["group"] for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[2 * g] == got[2 * g + 1] for g in range(20)) and len(set(got.values())) == 20
+    one, two = (simhash.shingle_hashes(t.encode(), 5) for t in texts[:2])
+    common = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sent = simhash.prefixes(docs.where("row < 2"), 5, 0.8, spark.sparkContext.broadcast(common)).orderBy("row").collect()
+    assert set(one.tolist()) == set(two.tolist()) and sent[0]["fp"] == sent[1]["fp"]

@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by spaced seeds.
 
-A mask such as ``110101011011`` is laid over every run of words; the words under
+A mask such as ``1001110111`` is laid over every run of words; the words under
 its ones are hashed, those under its zeros are free to differ. Documents and
 benchmark items that share a hash are compared word by word along the diagonal
 of the hit, which tolerates substitutions anywhere.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from oncemore.llm.common import as_bytes, chunks, mixed, stored, word_hashes
 
-#: Masks of eight words within twelve, far apart from each other's shifts.
-MASKS = ("111011010011", "110100111011", "111101101010")
+#: Masks of seven words. Every run of 13 words or more of which four fifths are equal has one of them, wherever the
+#: others are: all ways for 2 others in 13 words, 3 in 15, 4 in 20 and 5 in 25 are covered, and a longer run has such a part.
+MASKS = ("11101111", "11010010111", "111110011", "101100010111", "111010001011", "1111111", "1001110111")
 #: An overlap has as many words at least ...
 MIN_TOKENS = 13
 #: ... of which as large a share is equal.
@@ -125,19 +126,21 @@ def _filter(item_seeds: DataFrame) -> np.ndarray:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
-    """Start in the document, length and equal words of the best run with document word ``shift + i`` under item word ``i``.
+    """Start in the document, length and equal words of the longest run with document word ``shift + i`` under item word ``i``.
 
-    The best run has the largest sum of 1 per equal word and ``-s / (1 - s)`` per
-    other, so that at least the share ``s`` of it is equal.
+    Of all runs of which at least the share ``similarity`` is equal, this is the longest, and the first of those.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     same = doc[low + shift : high + shift] == item[low:high]
     if not same.any():
         return low + shift, 0, 0
-    sums = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -similarity / (1 - similarity) + 1e-9))))
-    gain = sums - np.minimum.accumulate(sums)
-    stop = int(gain.argmax())
-    start = int(sums[: stop + 1].argmin())
+    # A run has the share if its sum of (equal - share) is not negative.
+    sums = np.concatenate(([0.0], np.cumsum(same) - similarity * np.arange(1, len(same) + 1)))
+    # For each start the last stop whose sum is as great: the greatest sum from a stop on falls as stops go up.
+    later = np.maximum.accumulate(sums[::-1])[::-1]
+    stops = np.searchsorted(-later, 1e-9 - sums, side="right") - 1
+    start = int((stops - np.arange(len(sums))).argmax())
+    stop = int(stops[start])
     return low + shift + start, stop - start, int(same[start:stop].sum())
 
 
@@ -178,7 +181,7 @@ def contaminated(
                 item = np.frombuffer(item, np.uint64)
                 out.append((*best_overlap(np.frombuffer(doc, np.uint64), item, shift, similarity), len(item)))
             start, n, same, size = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
-            ok = pa.array((n >= min_tokens) & (same >= similarity * n))
+            ok = pa.array((n >= min_tokens) & (same >= similarity * n - 1e-9))
             columns = [part.column(c) for c in ("row", "doc_id", "txt", "item_row", "item_id")]
             columns += [pa.array(x) for x in (start, n, same)] + [pa.array(same / np.maximum(size, 1))]
             yield pa.RecordBatch.from_arrays(columns, names).filter(ok)

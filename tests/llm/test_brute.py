@@ -514,3 +514,42 @@ def test_repeats_do_not_hide_near_duplicates(spark):
     common = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sent = simhash.prefixes(docs.where("row < 2"), 5, 0.8, spark.sparkContext.broadcast(common)).orderBy("row").collect()
     assert set(one.tolist()) == set(two.tolist()) and sent[0]["fp"] == sent[1]["fp"]
+
+
+def test_longest_overlap():
+    """Against all runs, counted one by one: a shorter run of equal words does not hide a longer one with the share."""
+    rng = np.random.default_rng(21)
+    share = decontaminate.SIMILARITY
+    hidden = np.array([1] * 10 + [0] + [1] * 2, bool)
+    for case in [hidden, *(rng.random(int(rng.integers(1, 40))) < rng.uniform(0.5, 1) for _ in range(400))]:
+        before, after = rng.integers(0, 4, 2)
+        item = np.arange(1, len(case) + 1)
+        doc = np.concatenate((np.zeros(before, int), np.where(case, item, 0), np.zeros(after, int)))
+        runs = [(b - a) for a in range(len(case)) for b in range(a + 1, len(case) + 1) if 10 * case[a:b].sum() >= 8 * (b - a)]
+        start, n, equal = decontaminate.best_overlap(doc, item, int(before), share)
+        assert n == max(runs, default=0)
+        assert equal == case[start - before : start - before + n].sum()
+
+
+def test_contaminated_near_the_ends(spark):
+    """Substitutions near an end leave 13 words or more of which four fifths are equal."""
+    items, docs = [], []
+    for k, changed in enumerate([(10,), (2,), (2, 12), (11, 13), (1, 3, 17)]):
+        w = [f"i{k}x{j}" for j in range((13, 13, 15, 15, 20)[k])]
+        items.append((k, " ".join(w)))
+        docs.append((k, "before " * 5 + " ".join("other" if j in changed else x for j, x in enumerate(w)) + " after" * 5))
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, k) for k in range(len(items))]
+
+
+def test_masks_miss_no_overlap():
+    """Every way to have 2 other words in 13, 3 in 15, 4 in 20 and 5 in 25 leaves a place for a mask."""
+    for length, others in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        odd = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(length), others)])
+        met = np.zeros(len(odd), bool)
+        for mask in decontaminate.MASKS:
+            for shift in range(length - len(mask) + 1):
+                met |= odd & (int(mask, 2) << shift) == 0
+        assert met.all()

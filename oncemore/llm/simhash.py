@@ -274,13 +274,14 @@ def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs ``a``, ``b`` (``row``) of different ``root`` whose sets may be as similar; each pair once.
 
     Two such sets share a shingle of their prefixes. Shingles that only one
-    root has meet nobody and go before the join. A pair counts under the first
-    shingle shared, where the places before it bound what can still be shared.
+    root has meet nobody and go before the join; there a hash of four bytes is
+    enough, as it can only let more through. Where two meet, their places bound
+    what they can share if it is their first shingle; at the first, the bound holds.
     """
-    each = sets.select("row", "root", "size", F.posexplode("prefix").alias("pos", "shingle"))
-    contested = each.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    met = each.join(contested.select("shingle"), "shingle", "left_semi").join(sets.select("row", "prefix"), "row")
-    met = stored(met, "contested")
+    each = sets.select("row", "root", F.posexplode("prefix").alias("pos", "shingle")).withColumn("short", F.hash("shingle"))
+    contested = each.groupBy("short").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    met = each.drop("root").join(contested.select("short"), "short", "left_semi").drop("short")
+    met = stored(met.join(sets.select("row", "root", "size"), "row"), "contested")
     one, two = (met.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in met.columns if c != "shingle")) for x in "ab")
     left = [F.col(f"size_{x}") - F.col(f"pos_{x}") for x in "ab"]
     least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9
@@ -289,9 +290,8 @@ def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
         & (F.col("root_a") != F.col("root_b"))
         & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
         & (F.least(*left) >= least)
-        & (F.array_intersect("prefix_a", "prefix_b")[0] == F.col("shingle"))
     )
-    return both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    return both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:

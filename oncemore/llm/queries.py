@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oncemore.llm.boilerplate import op10_boilerplate
 from oncemore.llm.decontaminate import op5_decontamination
+from oncemore.llm.fim import FIM_PERCENT, MIDDLE, PREFIX, SPM_PERCENT, SUFFIX, op11_fill_in_middle
 from oncemore.llm.hmm import op4_hmm
 from oncemore.llm.hostrules import MOST_FAILURES, op3_host_rules
 from oncemore.llm.hostrules import RULES as HOST_RULES
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_boilerplate": op10_boilerplate,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 
@@ -110,6 +112,43 @@ FROM (SELECT *, {HOST_RULES["short"]} OR {HOST_RULES["repeated"]} AS base_failed
 JOIN verdicts v ON m.source IS NOT DISTINCT FROM v.source"""
 
 
+def _fill_in_middle_sql() -> str:
+    """Tokens as a list: the prefix is the first of them, and so on."""
+    word, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    draws = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    marked = " OR ".join(f"contains(text, '{m}')" for m in (PREFIX, SUFFIX, MIDDLE))
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+drawn AS (SELECT doc_id, text, regexp_extract_all(text, '{space}*{word}+|{space}+') AS tokens, {draws} FROM texts),
+formed AS (
+  SELECT *, len(tokens) AS n,
+         CASE WHEN text = '' OR {marked} OR h3 % 100 >= {FIM_PERCENT} THEN 'plain'
+              WHEN h4 % 100 < {SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+         greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b
+  FROM drawn
+),
+cut AS (
+  SELECT *, coalesce(array_to_string(tokens[:a], ''), '') AS prefix,
+         coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix
+  FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '{PREFIX}' || prefix || '{SUFFIX}' || suffix || '{MIDDLE}' || middle
+                        ELSE '{SUFFIX}' || suffix || '{PREFIX}' || prefix || '{MIDDLE}' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut"""
+
+
 #: The others go beyond SQL (trained models, random draws, closures over links, byte hashes); tests/llm
 #: compares each with a plain version.
-SQL: dict[str, str] = {"op3_host_rules": _host_rules_sql(), "op6_secrets": _secrets_sql()}
+SQL: dict[str, str] = {
+    "op3_host_rules": _host_rules_sql(),
+    "op6_secrets": _secrets_sql(),
+    "op11_fill_in_middle": _fill_in_middle_sql(),
+}

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
     "op10_boilerplate": ["page_id", "url", "text", "n_chars"],
+    "op11_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 

@@ -13,6 +13,7 @@ from oncemore.llm.hmm import op4_hmm
 from oncemore.llm.hostrules import MOST_FAILURES, op3_host_rules
 from oncemore.llm.hostrules import RULES as HOST_RULES
 from oncemore.llm.langid import op1_language_id
+from oncemore.llm.minhash import op12_minhash
 from oncemore.llm.mixing import op7_mixing
 from oncemore.llm.secrets import RULES, op6_secrets
 from oncemore.llm.simhash import op9_simhash
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_boilerplate": op10_boilerplate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash": op12_minhash,
 }
 
 
@@ -145,10 +147,44 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM cut"""
 
 
+def _minhash_sql() -> str:
+    """Sets as distinct rows, shared shingles counted by a join, links closed by recursion."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+  WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+),
+reach AS (
+  SELECT rid, rid AS other FROM texts
+  UNION
+  SELECT r.rid, CASE WHEN l.a = r.other THEN l.b ELSE l.a END
+  FROM reach r JOIN links l ON r.other IN (l.a, l.b)
+),
+least AS (SELECT r.rid, min(t.doc_id) AS component_id FROM reach r JOIN texts t ON t.rid = r.other GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM texts JOIN least USING (rid) LEFT JOIN sizes USING (rid)"""
+
+
 #: The others go beyond SQL (trained models, random draws, closures over links, byte hashes); tests/llm
 #: compares each with a plain version.
 SQL: dict[str, str] = {
     "op3_host_rules": _host_rules_sql(),
     "op6_secrets": _secrets_sql(),
     "op11_fill_in_middle": _fill_in_middle_sql(),
+    "op12_minhash": _minhash_sql(),
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
     "op10_boilerplate": ["page_id", "url", "text", "n_chars"],
     "op11_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op12_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
 }
 
 

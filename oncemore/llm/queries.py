@@ -19,6 +19,7 @@ from oncemore.llm.secrets import RULES, op6_secrets
 from oncemore.llm.simhash import op9_simhash
 from oncemore.llm.suffixdedup import op8_suffix_dedup
 from oncemore.llm.toxicity import op2_toxicity
+from oncemore.llm.trie import op13_conversation_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boilerplate": op10_boilerplate,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_minhash": op12_minhash,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 
@@ -180,6 +182,48 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINC
 FROM texts JOIN least USING (rid) LEFT JOIN sizes USING (rid)"""
 
 
+def _conversation_trie_sql() -> str:
+    """Prefixes as lists; every node is added up over all its ancestors. The crc32 goes bit by bit over the digits."""
+    fed = "CASE WHEN k % 8 = 0 THEN xor(v, ascii(digits[k // 8 + 1])) ELSE v END"
+    crc = f"xor(list_reduce(range(8 * length(digits)), lambda v, k: xor(({fed}) >> 1, 3988292384 * (({fed}) & 1)), 4294967295), 4294967295)"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+lengths AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS digits FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 100 AS base, c.h, least(c.h, coalesce(b.n, 0)) AS got
+  FROM (SELECT conv_id, {crc} % 6 AS h FROM lengths) c LEFT JOIN lengths b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+made AS (
+  SELECT c.conv_id, place, role, text FROM convs c JOIN turns t ON t.conv_id = base AND place <= h
+  UNION ALL
+  SELECT conv_id, got + place - h, role, text FROM convs JOIN turns USING (conv_id) WHERE place > h
+),
+paths AS (
+  SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (place IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN made USING (conv_id) GROUP BY conv_id
+),
+prefixes AS (SELECT conv_id, depth, path[:depth] AS key, len(path) AS n FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM paths)),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(length(key[depth].text), 0) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, key
+),
+children AS (SELECT key[:depth - 1] AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.key = n.key AND c.depth = n.depth),
+below AS (
+  SELECT up AS depth, key[:up] AS key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.key = c.key AND b.depth = c.depth
+LEFT JOIN counted p ON c.depth > 0 AND p.depth = c.depth - 1 AND p.key = c.key[:c.depth - 1]"""
+
+
 #: The others go beyond SQL (trained models, random draws, closures over links, byte hashes); tests/llm
 #: compares each with a plain version.
 SQL: dict[str, str] = {
@@ -187,4 +231,5 @@ SQL: dict[str, str] = {
     "op6_secrets": _secrets_sql(),
     "op11_fill_in_middle": _fill_in_middle_sql(),
     "op12_minhash": _minhash_sql(),
+    "op13_conversation_trie": _conversation_trie_sql(),
 }

@@ -13,19 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from oncemore.functions import messages as msg
-from oncemore.operators.fold import fold
+from oncemore.operators import sketches
+from oncemore.operators.fold import KEY, fold
 from oncemore.operators.percentiles import nearest_rank_percentiles
 from oncemore.plans import faults, snapshots, stats, views
 from oncemore.sinks.tables import (
     read_metrics,
+    read_runs,
+    read_sketches,
     read_snapshots,
     reset_metrics,
+    reset_run,
     write_metrics,
+    write_runs,
+    write_sketches,
     write_snapshots,
 )
 from oncemore.sources import eventlog, faultlog
+from oncemore.streaming import counts, progress
 from oncemore.streaming import delivery as streams
-from oncemore.streaming.state import latest_rows, shared_dir
+from oncemore.streaming.state import latest_rows, shared_dir, start_table
 
 try:
     import corpus_pipeline
@@ -68,6 +75,16 @@ def _log_files(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
     return path
 
 
+def _dealt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream of four micro-batches whose deliveries are known: each takes a share dealt by id and second."""
+    path = shared_dir(spark, "dealt")
+    log = _log(spark, sf_dir)
+    for deal in range(4):
+        share = log.where(f"(msg_id * 7 + out_time div 1000) % 4 = {deal}")
+        share.repartition(2).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.redelivered_log(_events(spark, sf_dir))
 
@@ -251,11 +268,59 @@ def _stream_delivery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_second_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "metrics")
-    streams.start_fold(
+    path = shared_dir(spark, "seconds")
+    counts.start_second_counts(
         _log_stream(spark, sf_dir), path, shared_dir(spark, "checkpoint"), every=None
     ).awaitTermination()
-    return streams.current_second_counts(spark, path)
+    return counts.current_second_totals(spark, path)
+
+
+def _stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every micro-batch reports, from the log of a listener."""
+    path = shared_dir(spark, "progress")
+    log = progress.observed(_dealt_stream(spark, sf_dir))
+    with progress.ProgressLog(spark, path) as kept:
+        query = streams.start_delivery_stats(log, shared_dir(spark, "running"), shared_dir(spark, "checkpoint"), every=None)
+        query.awaitTermination()
+        kept.wait(query)
+    batches = progress.read_progress(spark, path)
+    return batches.select("batch_id", "input_rows", "deliveries", "sum_latency", "min_latency", "max_latency")
+
+
+def _measured(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """Percentiles of sketches beside the exact ones, with the bound on their ranks as a statement."""
+    errors = sketches.rank_errors(near, rows)
+    return errors.select("job_type", "pct", "total_messages", "exact", (F.col("rank_error") <= sketches.RANK_ERROR).alias("within"))
+
+
+def _sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged from sketches stored per job and second."""
+    path = shared_dir(spark, "sketches")
+    metrics = _metrics(spark, sf_dir)
+    write_sketches(sketches.latency_sketches(metrics), path)
+    return _measured(sketches.sketch_percentiles(read_sketches(spark, path)), metrics)
+
+
+def _stream_sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all deliveries, kept by a stream and merged."""
+    path = shared_dir(spark, "sketches")
+    latency = F.col("out_time") - F.col("create_time")
+    kept = sketches.latency_sketches(_log_stream(spark, sf_dir), value=latency)
+    key = ["job_type", "second"]
+    start_table(kept, path, shared_dir(spark, "checkpoint"), every=None, keys=key).awaitTermination()
+    near = sketches.sketch_percentiles(latest_rows(spark, path, kept.schema, key))
+    return _measured(near, _log(spark, sf_dir).withColumn("latency", latency))
+
+
+def _reset_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs in one table: one is emptied, one written again from half of its messages."""
+    path = shared_dir(spark, "runs")
+    log = _log(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run "), (F.col("msg_id") % 3).cast("string")))
+    key = ("run_id", *KEY)
+    write_runs(fold(log, key), path)
+    reset_run(spark, path, "run 1")
+    write_runs(fold(log.where("run_id = 'run 2' AND msg_id % 2 = 0"), key), path)
+    return stats.duplicate_stats(read_runs(spark, path), by=("run_id", "job_type"))
 
 
 def _stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,12 +340,12 @@ def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log_stream(spark, sf_dir)
+    """The snapshots after each of the micro-batches."""
     path = shared_dir(spark, "snapshots")
     streams.start_snapshots(
-        log, shared_dir(spark, "metrics"), path, shared_dir(spark, "checkpoint"), every=None
+        _dealt_stream(spark, sf_dir), shared_dir(spark, "metrics"), path, shared_dir(spark, "checkpoint"), every=None
     ).awaitTermination()
-    return _doubles(snapshots.latest_snapshot(read_snapshots(spark, path)))
+    return _doubles(read_snapshots(spark, path).drop("snapshot_time"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -329,6 +394,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delivery_stats": _of_log(stats.delivery_stats),
         "stored_metrics": _stored_metrics,
         "reset_metrics": _reset,
+        "reset_of_run": _reset_of_run,
+        "sketch_percentiles": _sketch_percentiles,
         "views_in_sql": _views,
         # Snapshots.
         "create_snapshot": _create_snapshot,
@@ -356,6 +423,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_first_deliveries": _stream_first_deliveries,
         "stream_enriched_messages": _stream_enriched,
         "stream_snapshots": _stream_snapshots,
+        "stream_progress": _stream_progress,
+        "stream_sketch_percentiles": _stream_sketch_percentiles,
     }
 
 
@@ -405,13 +474,19 @@ seconds AS (
   SELECT job_type, out_time // 1000 AS second, count(*) AS messages FROM metrics GROUP BY ALL
 )"""
 
-_SERIES = f"""
+# The micro-batch of `_dealt_stream` that a delivery comes in.
+_DEAL = "(msg_id * 7 + out_time // 1000) % 4"
+
+
+def _snapshots_at(cuts: int, seen: str) -> str:
+    """Snapshots after each of some cuts, over the deliveries seen by then."""
+    return f"""
 WITH {_LOG},
-cuts AS (SELECT range AS cut, {T0} + range * 600000 AS cut_time FROM range(6)),
+cuts AS (SELECT range AS cut, {T0} + range * 600000 AS cut_time FROM range({cuts})),
 metrics AS (
   SELECT cut, job_type, msg_id, arg_min(create_time, out_time) AS event_time, max(out_time) AS out_time,
          arg_max(out_time - create_time, out_time) AS latency, count(*) AS process_count
-  FROM deliveries JOIN cuts ON out_time <= cut_time GROUP BY cut, job_type, msg_id
+  FROM deliveries JOIN cuts ON {seen} GROUP BY cut, job_type, msg_id
 ),
 {_ranked("metrics", "cut, job_type", _P)},
 snapshots AS (
@@ -434,6 +509,27 @@ snapshots AS (
   FROM metrics JOIN pcts USING (cut, job_type) GROUP BY cut, job_type
 )"""
 
+
+_SERIES = _snapshots_at(6, "out_time <= cut_time")
+
+def _sketch_check(source: str) -> str:
+    """The exact percentiles, and that those of the sketches are near them."""
+    rows = " UNION ALL ".join(
+        f"SELECT job_type, {p}::DOUBLE AS pct, count(*) AS total_messages, max(CASE WHEN rn = total * {p} // 100 THEN latency END) AS exact,"
+        " true AS within FROM ranked GROUP BY job_type"
+        for p in sketches.PCTS
+    )
+    return f"""
+WITH {_METRICS},
+arrivals AS (SELECT job_type, out_time - create_time AS latency FROM deliveries),
+ranked AS (
+  SELECT job_type, latency, row_number() OVER (PARTITION BY job_type ORDER BY latency) AS rn,
+         count(*) OVER (PARTITION BY job_type) AS total
+  FROM {source}
+)
+{rows}"""
+
+
 _SUMMARY = """job_type, total_messages, avg_latency AS avg_latency_ms, min_latency AS min_latency_ms,
   max_latency AS max_latency_ms, p95_latency AS p95_latency_ms, p99_latency AS p99_latency_ms,
   duplicate_rate AS duplicate_rate_pct, max_process_count, throughput_per_sec AS throughput_msg_s"""
@@ -630,6 +726,14 @@ FROM known GROUP BY job_type""",
         "delivery_stats": _DELIVERY_STATS,
         "stored_metrics": fold_sql,
         "reset_metrics": f"WITH {_METRICS} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n FROM metrics",
+        "reset_of_run": f"""
+WITH {_METRICS},
+runs AS (SELECT *, 'run ' || CAST(msg_id % 3 AS VARCHAR) AS run_id FROM metrics)
+SELECT run_id, job_type, count(*) AS total_messages, count(*) FILTER (process_count > 1) AS duplicate_messages,
+       round(count(*) FILTER (process_count > 1) / count(*) * 100, 2) AS duplicate_rate_pct,
+       max(process_count) AS max_process_count, CAST(sum(process_count - 1) AS BIGINT) AS total_reprocess_count
+FROM runs WHERE run_id = 'run 0' OR run_id = 'run 2' AND msg_id % 2 = 0 GROUP BY run_id, job_type""",
+        "sketch_percentiles": _sketch_check("metrics"),
         "views_in_sql": f"""
 WITH {_METRICS},
 {_ranked("metrics", "job_type", _P)}
@@ -732,5 +836,12 @@ WITH {_LOG}
 SELECT job_type, msg_id, arg_min(create_time, out_time) AS create_time, min(out_time) AS out_time
 FROM deliveries GROUP BY job_type, msg_id""",
         "stream_enriched_messages": f"WITH {_TOPIC} SELECT {_ENRICHED}",
-        "stream_snapshots": final,
+        "stream_snapshots": _snapshots_at(4, f"{_DEAL} <= cut") + " SELECT * EXCLUDE (snapshot_time) FROM snapshots",
+        "stream_progress": f"""
+WITH {_LOG}
+SELECT {_DEAL} AS batch_id, count(*) AS input_rows, count(*) AS deliveries,
+       CAST(sum(out_time - create_time) AS BIGINT) AS sum_latency, min(out_time - create_time) AS min_latency,
+       max(out_time - create_time) AS max_latency
+FROM deliveries GROUP BY ALL""",
+        "stream_sketch_percentiles": _sketch_check("arrivals"),
     }

@@ -47,8 +47,13 @@ def snapshot_rows(
     metrics: DataFrame, note: str, snapshot_time: Column | None = None, first_id: int = 1
 ) -> DataFrame:
     """The rows of one snapshot, numbered by job from ``first_id``."""
-    time = F.date_trunc("second", F.current_timestamp()) if snapshot_time is None else snapshot_time
     stats = with_unique(full_stats(metrics), metrics, ["job_type"])
+    return snapshot_of_figures(stats, note, snapshot_time, first_id)
+
+
+def snapshot_of_figures(stats: DataFrame, note: str, snapshot_time: Column | None = None, first_id: int = 1) -> DataFrame:
+    """The rows of one snapshot from the jobs' ``full_stats`` and ``unique``."""
+    time = F.date_trunc("second", F.current_timestamp()) if snapshot_time is None else snapshot_time
     return _snapshot_columns(stats, time, F.lit(note), ["job_type"], first_id)
 
 
@@ -56,14 +61,11 @@ def last_id(spark: SparkSession, path: str, before: tuple[int, int] | None = Non
     """Highest snapshot id in the table, 0 when there is none. ``before``: only
     those of earlier generations and, in that one, of earlier batches."""
     try:
-        stored = spark.read.schema(SNAPSHOTS).parquet(path)
+        stored = read_snapshots(spark, path, before)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return 0
-    if before is not None and "batch_id" in stored.columns:
-        same = (F.col("generation") == before[0]) & (F.col("batch_id") < before[1])
-        stored = stored.where((F.col("generation") < before[0]) | same)
     return stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 

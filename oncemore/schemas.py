@@ -1,6 +1,7 @@
 """Schemas of the tables and messages this library reads and writes."""
 
 from pyspark.sql.types import (
+    BinaryType,
     DataType,
     DecimalType,
     IntegerType,
@@ -44,6 +45,39 @@ METRICS = _struct(
     first_out_time=LongType,
 )
 
+# A changed metrics row and its former values, which are null for a new message.
+CHANGES = StructType(
+    METRICS.fields
+    + _struct(was_event_time=LongType, was_out_time=LongType, was_latency=LongType, was_process_count=LongType).fields
+)
+
+# Messages by the values of four of their columns, and messages per second; or differences of such counts.
+MEASURES = ("latency", "out_time", "event_time", "process_count")
+COUNTS = _struct(job_type=StringType, measure=StringType, value=LongType, n=LongType)
+SECOND_COUNTS = _struct(job_type=StringType, second=LongType, n=LongType)
+
+# One row per query and micro-batch: what the batch reported.
+PROGRESS = _struct(
+    query=StringType,
+    batch_id=LongType,
+    at=TimestampType,
+    input_rows=LongType,
+    duration_ms=LongType,
+    deliveries=LongType,
+    sum_latency=LongType,
+    min_latency=LongType,
+    max_latency=LongType,
+)
+
+# Metrics of several runs, and latency sketches, as stored.
+RUN_METRICS = StructType([StructField("run_id", StringType()), *METRICS.fields])
+SKETCHES = StructType(
+    _struct(
+        job_type=StringType, second=LongType, messages=LongType, sum_latency=LongType, min_latency=LongType, max_latency=LongType
+    ).fields
+    + [StructField("sketch", BinaryType())]
+)
+
 # One row per job in every snapshot of the statistics.
 SNAPSHOTS = _struct(
     id=LongType,

@@ -7,15 +7,19 @@ from pyspark.sql.streaming import StreamingQuery
 from oncemore.functions.columns import arrival_order
 from oncemore.functions.messages import enrich_or_flag
 from oncemore.operators.fold import KEY, fold
-from oncemore.plans.snapshots import last_id, snapshot_rows
+from oncemore.plans.snapshots import last_id
 from oncemore.plans.stats import delivery_stats, second_counts
-from oncemore.schemas import METRICS
+from oncemore.schemas import COUNTS, METRICS
 from oncemore.sinks.topics import to_topic
+from oncemore.streaming.counts import add_counts, changes, snapshot_of_counts, write_changes
 from oncemore.streaming.state import (
     CHECKPOINT_EVERY,
     generation_of,
     keep_state_on_disk,
     latest_rows,
+    newest,
+    published,
+    read_parts,
     start_table,
     trigger,
     write_batch,
@@ -70,7 +74,7 @@ def start_fold(
     deliveries: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
 ) -> StreamingQuery:
     """Keep the metrics of a delivery stream up to date at ``path``."""
-    return start_table(fold(deliveries).select(*METRICS.names), path, checkpoint, every)
+    return start_table(fold(deliveries).select(*METRICS.names), path, checkpoint, every, KEY)
 
 
 def current_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +86,7 @@ def start_delivery_stats(
     deliveries: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
 ) -> StreamingQuery:
     """Keep the running figures per job up to date at ``path``."""
-    return start_table(delivery_stats(deliveries), path, checkpoint, every)
+    return start_table(delivery_stats(deliveries), path, checkpoint, every, ["job_type"])
 
 
 def current_second_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -91,9 +95,9 @@ def current_second_counts(spark: SparkSession, path: str) -> DataFrame:
     return second_counts(current_metrics(spark, path))
 
 
-def second_counts_stream(deliveries: DataFrame, lateness: str | None = None) -> DataFrame:
-    """Deliveries per job and second. Nothing is dropped, and the state has a
-    row per second. With ``lateness`` the state stays bounded instead: a second
+def second_deliveries_stream(deliveries: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Deliveries (not messages; see ``start_second_counts``) per job and second.
+    Nothing is dropped, and the state has a row per second. With ``lateness`` the state stays bounded instead: a second
     is forgotten once it is that old, and deliveries that come later are
     dropped; only then is there an append mode."""
     at = deliveries.withColumn("_at", F.timestamp_millis("out_time"))
@@ -101,8 +105,8 @@ def second_counts_stream(deliveries: DataFrame, lateness: str | None = None) ->
         at = at.withWatermark("_at", lateness)
     return (
         at.groupBy("job_type", F.window("_at", "1 second").alias("_second"))
-        .agg(F.count("*").alias("messages"))
-        .select("job_type", F.unix_seconds("_second.start").alias("second"), "messages")
+        .agg(F.count("*").alias("deliveries"))
+        .select("job_type", F.unix_seconds("_second.start").alias("second"), "deliveries")
     )
 
 
@@ -121,7 +125,7 @@ def start_first_deliveries(
     deliveries: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
 ) -> StreamingQuery:
     """Keep the first delivery of every message at ``path``; read it with ``latest_rows``."""
-    return start_table(first_deliveries(deliveries), path, checkpoint, every)
+    return start_table(first_deliveries(deliveries), path, checkpoint, every, KEY)
 
 
 def deliveries_within(deliveries: DataFrame, horizon: str) -> DataFrame:
@@ -144,21 +148,29 @@ def start_snapshots(
     checkpoint: str,
     every: str | None = "60 seconds",
     note: str = "window",
+    counts_path: str | None = None,
 ) -> StreamingQuery:
-    """Fold a delivery stream and take a snapshot after every micro-batch."""
+    """Fold a delivery stream and take a snapshot after every micro-batch.
+
+    A snapshot is made from counts by value (``streaming.counts``), which are kept
+    by differences at ``counts_path`` (beside the metrics by default). So a
+    trigger reads its own deliveries, the rows that they change and the counts,
+    and never the metrics of earlier batches.
+    """
     spark = deliveries.sparkSession
     keep_state_on_disk(spark)
+    counts_path = counts_path or f"{metrics_path.rstrip('/')}_counts"
     generation = generation_of(spark, metrics_path, checkpoint)
 
     def take(changed: DataFrame, batch_id: int) -> None:
-        write_batch(changed, metrics_path, batch_id, generation)
+        write_changes(changed, metrics_path, counts_path, batch_id, generation, lambda rows: newest(rows, METRICS, KEY))
+        counts = add_counts(read_parts(spark, counts_path, COUNTS, generation, published(spark, counts_path, generation)))
         first = last_id(spark, snapshots_path, before=(generation, batch_id)) + 1
-        rows = snapshot_rows(current_metrics(spark, metrics_path), f"{note} {batch_id + 1}", first_id=first)
-        write_batch(rows.coalesce(1), snapshots_path, batch_id, generation)
+        rows = snapshot_of_counts(counts, f"{note} {batch_id + 1}", first_id=first)
+        write_batch(rows.coalesce(1), snapshots_path, batch_id, generation, lambda old: old.drop("batch_id").coalesce(1))
 
     return (
-        fold(deliveries)
-        .select(*METRICS.names)
+        changes(deliveries)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger(every))

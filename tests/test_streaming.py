@@ -111,7 +111,7 @@ def test_second_counts_in_append_mode(spark, log, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(files)
     out = str(tmp_path / "seconds")
     (
-        delivery.second_counts_stream(stream, lateness="10 seconds")
+        delivery.second_deliveries_stream(stream, lateness="10 seconds")
         .writeStream.outputMode("append")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .trigger(availableNow=True)
@@ -150,7 +150,7 @@ def test_late_deliveries_count(spark, tmp_path):
     got = delivery.current_second_counts(spark, table).select("job_type", "second", "messages")
     assert sorted(rows(got)) == [("a", 5, 1), ("a", 300, 1)]
 
-    counts = delivery.second_counts_stream(stream)
+    counts = delivery.second_deliveries_stream(stream)
     seconds = str(tmp_path / "seconds")
     state.start_table(counts, seconds, str(tmp_path / "checkpoint2"), every=None).awaitTermination()
     got = state.latest_rows(spark, seconds, counts.schema, ["job_type", "second"])

@@ -30,7 +30,7 @@ from oncemore.sinks.tables import (
     write_snapshots,
 )
 from oncemore.sources import eventlog, faultlog
-from oncemore.streaming import counts, progress
+from oncemore.streaming import counts, first, progress
 from oncemore.streaming import delivery as streams
 from oncemore.streaming.state import latest_rows, shared_dir, start_table
 
@@ -170,13 +170,22 @@ def _reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several statistics of a stored table joined in SQL."""
-    path = shared_dir(spark, "metrics")
+    """All views of a stored table joined in SQL."""
+    path, taken = shared_dir(spark, "metrics"), shared_dir(spark, "snapshots")
     write_metrics(_metrics(spark, sf_dir), path)
-    views.create_views(read_metrics(spark, path))
+    metrics = read_metrics(spark, path)
+    snapshots.create_snapshot(spark, metrics, taken, "view", F.timestamp_millis(F.lit(T0)))
+    views.create_views(metrics, read_snapshots(spark, taken))
     return spark.sql("""
-        SELECT job_type, p99_latency_ms, duplicate_rate_pct, max_process_count
-        FROM v_latency_percentiles JOIN v_comparison USING (job_type)
+        SELECT job_type, p.p99_latency_ms, c.duplicate_rate_pct, c.max_process_count, l.stddev_latency_ms,
+               d.total_reprocess_count, e.throughput_msg_s, h.total_messages, t.messages AS newest_messages
+        FROM v_latency_percentiles p
+        JOIN v_comparison c USING (job_type)
+        JOIN v_latency_stats l USING (job_type)
+        JOIN v_duplicate_stats d USING (job_type)
+        JOIN v_experiment_stats e USING (job_type)
+        JOIN v_snapshot_history h USING (job_type)
+        LEFT JOIN (SELECT job_type, sum(messages) AS messages FROM v_throughput_per_second GROUP BY job_type) t USING (job_type)
     """)
 
 
@@ -330,6 +339,14 @@ def _stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_rows(spark, path, log.schema, ["job_type", "msg_id"])
 
 
+def _stream_first_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats are looked up a minute back; later ones are outvoted."""
+    log = _log_stream(spark, sf_dir)
+    path = shared_dir(spark, "first")
+    first.start_first_within(log, path, shared_dir(spark, "checkpoint"), 60_000, every=None).awaitTermination()
+    return first.current_firsts(spark, path, log.schema)
+
+
 def _stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = eventlog.message_topic(_events_stream(spark, sf_dir))
     path = shared_dir(spark, "enriched")
@@ -421,6 +438,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_delivery_stats": _stream_delivery_stats,
         "stream_second_counts": _stream_second_counts,
         "stream_first_deliveries": _stream_first_deliveries,
+        "stream_first_within": _stream_first_within,
         "stream_enriched_messages": _stream_enriched,
         "stream_snapshots": _stream_snapshots,
         "stream_progress": _stream_progress,
@@ -595,6 +613,11 @@ SELECT job_type, count(*) AS deliveries, round(avg(out_time - create_time), 2) A
        min(out_time - create_time) AS min_latency_ms, max(out_time - create_time) AS max_latency_ms
 FROM deliveries GROUP BY job_type"""
 
+_FIRST = f"""
+WITH {_LOG}
+SELECT job_type, msg_id, arg_min(create_time, out_time) AS create_time, min(out_time) AS out_time
+FROM deliveries GROUP BY job_type, msg_id"""
+
 _MONITOR = f"""
 WITH {_METRICS}
 SELECT count(*) AS messages, round(avg(latency), 2) AS avg_latency_ms,
@@ -739,8 +762,17 @@ WITH {_METRICS},
 {_ranked("metrics", "job_type", _P)}
 SELECT job_type, max(p99) AS p99_latency_ms,
        round(count(*) FILTER (process_count > 1) / count(*) * 100, 2) AS duplicate_rate_pct,
-       max(process_count) AS max_process_count
-FROM metrics JOIN pcts USING (job_type) GROUP BY job_type""",
+       max(process_count) AS max_process_count, round(stddev_pop(latency), 2) AS stddev_latency_ms,
+       CAST(sum(process_count - 1) AS BIGINT) AS total_reprocess_count,
+       round(count(*) / nullif((max(out_time) - min(out_time)) / 1000.0, 0), 2) AS throughput_msg_s,
+       count(*) AS total_messages, max(newest) AS newest_messages
+FROM metrics JOIN pcts USING (job_type) LEFT JOIN (
+  SELECT job_type, CAST(sum(messages) AS BIGINT) AS newest
+  FROM (
+    SELECT job_type, out_time // 1000 AS second, count(*) AS messages FROM metrics
+    GROUP BY ALL ORDER BY second DESC, job_type LIMIT 100
+  ) GROUP BY job_type
+) USING (job_type) GROUP BY job_type""",
         "create_snapshot": _SERIES
         + f""", last AS (SELECT * FROM snapshots WHERE note = 'window 6')
 SELECT * REPLACE (row_number() OVER (ORDER BY job_type) AS id, make_timestamp({T0 + 3_000_000} * 1000) AS snapshot_time,
@@ -831,10 +863,8 @@ FROM numbered GROUP BY job_type, msg_id""",
         "stream_restarted_fold": fold_sql,
         "stream_delivery_stats": _DELIVERY_STATS,
         "stream_second_counts": f"WITH {_METRICS}, {_SECONDS} SELECT * FROM seconds",
-        "stream_first_deliveries": f"""
-WITH {_LOG}
-SELECT job_type, msg_id, arg_min(create_time, out_time) AS create_time, min(out_time) AS out_time
-FROM deliveries GROUP BY job_type, msg_id""",
+        "stream_first_deliveries": _FIRST,
+        "stream_first_within": _FIRST,
         "stream_enriched_messages": f"WITH {_TOPIC} SELECT {_ENRICHED}",
         "stream_snapshots": _snapshots_at(4, f"{_DEAL} <= cut") + " SELECT * EXCLUDE (snapshot_time) FROM snapshots",
         "stream_progress": f"""

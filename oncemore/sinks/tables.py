@@ -11,9 +11,13 @@ from oncemore.streaming.state import newest_generation, published, read_parts
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store folded metrics by ``job_type``, so that a job filter reads only its
-    own files. The rebalance splits the few, uneven jobs into even files."""
+    own files, and within a job by ``first_out_time``, so that a filter on time
+    passes over the files and row groups of other times. The ranges over both
+    split the few, uneven jobs into even files."""
+    order = ("job_type", "first_out_time")
     (
-        metrics.hint("rebalance", "job_type")
+        metrics.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "static")
         .partitionBy("job_type")

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from oncemore.functions.columns import arrival_order
 from oncemore.functions.messages import enrich_or_flag
 from oncemore.operators.fold import KEY, fold
 from oncemore.plans.snapshots import last_id
@@ -12,6 +11,7 @@ from oncemore.plans.stats import delivery_stats, second_counts
 from oncemore.schemas import COUNTS, METRICS
 from oncemore.sinks.topics import to_topic
 from oncemore.streaming.counts import add_counts, changes, snapshot_of_counts, write_changes
+from oncemore.streaming.first import first_deliveries
 from oncemore.streaming.state import (
     CHECKPOINT_EVERY,
     generation_of,
@@ -110,17 +110,6 @@ def second_deliveries_stream(deliveries: DataFrame, lateness: str | None = None)
     )
 
 
-def first_deliveries(deliveries: DataFrame) -> DataFrame:
-    """The first delivery of every message, with all its columns, in the order of
-    arrival and whatever the order of the files. Works on streams, in update
-    mode: a delivery that turns out to be earlier replaces the row. The state
-    has a row per message; repeats combine before the shuffle."""
-    order = arrival_order(deliveries)
-    rest = [c for c in deliveries.columns if c not in KEY]
-    first = deliveries.groupBy(*KEY).agg(*[F.min_by(c, order).alias(c) for c in rest])
-    return first.select(*deliveries.columns)
-
-
 def start_first_deliveries(
     deliveries: DataFrame, path: str, checkpoint: str, every: str | None = CHECKPOINT_EVERY
 ) -> StreamingQuery:
@@ -129,8 +118,8 @@ def start_first_deliveries(
 
 
 def deliveries_within(deliveries: DataFrame, horizon: str) -> DataFrame:
-    """One delivery per message, for state that must stay bounded: which of those
-    in a micro-batch is left open, a message that comes again later than
+    """One delivery per message, for an append-only sink with bounded state (see
+    ``first.start_first_within`` for the exact one): which of those in a micro-batch is left open, a message that comes again later than
     ``horizon`` counts as new, and a message whose first delivery is itself that
     late is dropped."""
     return (

@@ -2,15 +2,18 @@
 
 Two small collections of keys, each key made of a few minhashes, stand for all
 their pairs: a table has the key (i, j) of every key i of the one collection and
-j of the other. So 12 + 12 keys of 2 minhashes give 144 tables of 4 minhashes,
-from 48 minhashes instead of 576. Two texts that share no key of the one or of
+j of the other. So 22 + 22 keys of 4 minhashes give 484 tables of 8 minhashes,
+from 176 minhashes instead of 3,872. Two texts that share no key of the one or of
 the other collection meet in no table, which settles most texts before any table
 is filled.
 
-Where texts meet, their whole sets of shingles are compared. Equal sets are one
-entry. In every bucket the others are compared with one centre first, which
-contracts a large group to few components; only entries of different components
-are compared with each other after that.
+Equal sets of shingles are one entry. First the tables (i, i) are used: in each
+bucket one centre is compared with the others, which contracts large groups.
+Then all tables are filled for entries that share keys with another group, and
+entries of different groups are compared. Wherever two meet, the parities of
+their shingles' hashes bound from below in how many shingles they differ. Two
+that share many tables are a pair in the first few only. Pairs that pass are
+compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -20,15 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oncemore.llm.common import as_bytes, chunks, mixed, stored, word_hashes
 from oncemore.llm.simhash import components
 
 #: Keys of a collection, and minhashes of a key. A pair with a similarity of 0.8 shares no table
-#: with a probability of at most 2 * (1 - 0.8 ** DEPTH) ** SIDE, that is 1 in 100,000.
-SIDE, DEPTH = 12, 2
+#: with a probability of at most 2 * (1 - 0.8 ** DEPTH) ** SIDE, that is 1 in 50,000; of 0.85, 1 in 1,000,000.
+SIDE, DEPTH = 22, 4
+#: Words of 64 parities.
+PARITIES = 8
+#: A pair counts in tables before whose key fewer keys of either collection are equal, by 8 bits each. That those
+#: of so many different keys are, before the first key that is equal, has a probability below 1 in 1,000,000.
+FIRST = 3
+#: Words of 8 keys' bits, for each collection.
+LANES = -(-SIDE // 8)
 #: Rounds in which the entries of a bucket are compared with one centre only.
 STARS = 2
 #: A centre's text is joined in so many copies at most.
@@ -66,79 +76,123 @@ def minhash_keys(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     if not len(first):
         return keys
     for k, odd in enumerate(_ODD):
-        v = hashes * odd
-        v ^= v >> np.uint64(32)
-        v *= odd
         key = k // DEPTH
-        keys[:, key] = mixed(keys[:, key] + np.minimum.reduceat(v, first) + odd)
+        keys[:, key] = mixed(keys[:, key] + np.minimum.reduceat(hashes * odd, first) + odd)
     return keys
 
 
+def lanes(keys: np.ndarray) -> np.ndarray:
+    """Eight bits of each key, as 2 * ``LANES`` numbers."""
+    bits = np.zeros((len(keys), 2, 8 * LANES), np.uint8)
+    bits[:, :, :SIDE] = (keys & np.uint64(255)).reshape(-1, 2, SIDE)
+    return bits.reshape(-1, 16 * LANES).view(np.int64)
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """For each of 64 * ``PARITIES`` classes of hashes, whether the set has an odd number in it."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``row``, ``doc_id``, ``same`` (128 bits of the set), ``size`` and ``keys`` of every text; no keys where the set is empty."""
+    """``row``, ``doc_id``, ``same`` (128 bits of the set), ``size``, ``keys``, ``lanes`` and ``odd`` (parities) of every text; no keys where the set is empty."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             hashes, stops = shingles(as_bytes(part.column("text")), width)
-            keys = iter(minhash_keys(hashes, stops).view(np.int64).tolist())
-            same, sizes, own, start = [], [], [], 0
+            keys = minhash_keys(hashes, stops)
+            each = zip(keys.view(np.int64).tolist(), lanes(keys).tolist(), strict=True)
+            same, sizes, own, short, odd, start = [], [], [], [], [], 0
             for stop in stops.tolist():
                 whole = np.unique(hashes[start:stop])
                 same.append(xxhash.xxh3_128_digest(whole.tobytes()))
                 sizes.append(len(whole))
-                own.append(next(keys) if stop > start else None)
+                key, lane = next(each) if stop > start else (None, None)
+                own.append(key)
+                short.append(lane)
+                odd.append(parities(whole))
                 start = stop
-            columns = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), *columns], ["row", "doc_id", "same", "size", "keys"]
-            )
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, longs) for x in (own, short, odd))]
+            names = ["row", "doc_id", "same", "size", "keys", "lanes", "odd"]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *columns], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"row bigint, doc_id {kind}, same binary, size bigint, keys array<bigint>"
+    schema = f"row bigint, doc_id {kind}, same binary, size bigint, keys array<bigint>, lanes array<bigint>, odd array<bigint>"
     return docs.select("row", "doc_id", "text").mapInArrow(of, schema)
 
 
-def _contested(rows: DataFrame, key: str, apart: str = "row") -> DataFrame:
-    """The values of ``key`` under which there are two values of ``apart``."""
-    return rows.groupBy(key).agg(F.min(apart).alias("lo"), F.max(apart).alias("hi")).where("lo <> hi").select(key)
+def _contested(rows: DataFrame, key: str) -> DataFrame:
+    """Those ``rows`` (with ``root``) under whose ``key`` there are two roots."""
+    ends = rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(ends.where("lo <> hi").select(key), key, "left_semi")
+
+
+def first_tables(entries: DataFrame) -> DataFrame:
+    """``bucket``, ``row`` and ``root`` where an entry meets one of another root in a table (i, i)."""
+    pairs = F.array(*(F.xxhash64(F.col("keys")[k], F.col("keys")[SIDE + k]) for k in range(SIDE)))
+    return _contested(entries.select("row", "root", F.explode(pairs).alias("bucket")), "bucket")
 
 
-def tables(entries: DataFrame) -> DataFrame:
-    """``row``, ``size`` and ``bucket`` for every table in which an entry (``row``, ``size``, ``keys``) meets another.
+def all_tables(entries: DataFrame) -> DataFrame:
+    """``bucket``, ``i``, ``j``, ``row`` and ``root`` where an entry meets one of another root in any table (i, j).
 
-    Keys that nobody else has are left out before the pairs are formed.
+    Keys that nobody of another root has are left out before the pairs are formed.
     """
-    each = entries.select("row", F.posexplode("keys").alias("place", "key"))
-    met = each.join(_contested(each, "key"), "key", "left_semi")
+    met = _contested(entries.select("row", "root", F.posexplode("keys").alias("place", "key")), "key")
     # At most 2 * SIDE keys an entry.
+    key = F.struct("place", "key")
     sides = met.groupBy("row").agg(
-        F.collect_list(F.when(F.col("place") < SIDE, F.col("key"))).alias("one"),
-        F.collect_list(F.when(F.col("place") >= SIDE, F.col("key"))).alias("two"),
+        F.min("root").alias("root"),
+        F.collect_list(F.when(F.col("place") < SIDE, key)).alias("one"),
+        F.collect_list(F.when(F.col("place") >= SIDE, key)).alias("two"),
     )
-    pairs = sides.select("row", F.explode("one").alias("key"), "two").select("row", "key", F.explode("two").alias("other"))
-    filled = stored(pairs.select("row", F.xxhash64("key", "other").alias("bucket")), "tables")
-    met = filled.join(_contested(filled, "bucket"), "bucket", "left_semi")
-    return met.join(entries.select("row", "size"), "row")
+    pairs = sides.select("row", "root", F.explode("one").alias("a"), "two").select("row", "root", "a", F.explode("two").alias("b"))
+    bucket = F.xxhash64("a.key", "b.key").alias("bucket")
+    filled = pairs.select(bucket, F.col("a.place").alias("i"), (F.col("b.place") - SIDE).alias("j"), "row", "root")
+    return _contested(stored(filled, "tables"), "bucket")
+
+
+def _may(a: str, b: str, percent: int) -> Column:
+    """Whether two sets (prefixes of ``size`` and ``odd``) may share ``percent`` of their union.
+
+    Every shingle of one set only turns one parity, so as many parities as
+    differ, as many shingles do; and they may be no more than this share of both.
+    """
+    size = F.col(f"{a}size"), F.col(f"{b}size")
+    differ = [F.bit_count(F.col(f"{a}odd")[k].bitwiseXOR(F.col(f"{b}odd")[k])) for k in range(PARITIES)]
+    near = 100 * F.least(*size) >= percent * F.greatest(*size)
+    return near & ((100 + percent) * sum(differ[1:], differ[0]) <= (100 - percent) * (size[0] + size[1]))
+
 
+def _is_first(a: str, b: str) -> Column:
+    """Whether fewer than ``FIRST`` keys of either collection are equal before those of the table (i, j), by their lanes."""
+    upto = F.array(*(F.lit((1 << 8 * n) - 1 if n < 8 else -1) for n in range(9)))
 
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """``buckets`` with ``root``, of those that hold more than one root."""
-    rooted = buckets.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    rooted = stored(rooted, "rooted")
-    return stored(rooted.join(_contested(rooted, "bucket", "root"), "bucket", "left_semi"), "open")
+    def folded(x: Column) -> Column:
+        # The lowest bit of every byte: whether the byte has any.
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
+        return x.bitwiseAND(F.lit(0x0101010101010101))
 
+    def equal_before(side: int, place: Column) -> Column:
+        n = place
+        for w in range(LANES):
+            differ = folded(F.col(f"{a}lanes")[side * LANES + w].bitwiseXOR(F.col(f"{b}lanes")[side * LANES + w]))
+            before = F.element_at(upto, F.least(F.greatest(place - 8 * w, F.lit(0)), F.lit(8)) + 1)
+            n = n - F.bit_count(differ.bitwiseAND(before))
+        return n
 
-def _near(one: str, two: str, percent: int):
-    """Sets of which neither is too small for the other."""
-    return 100 * F.least(one, two) >= percent * F.greatest(one, two)
+    return (equal_before(0, F.col("i")) < FIRST) & (equal_before(1, F.col("j")) < FIRST)
 
 
 def star_pairs(buckets: DataFrame, nth: int, percent: int) -> DataFrame:
     """Pairs ``a``, ``b``: the entry of least hash of every bucket, and each other one of another root. Hashes differ by ``nth``."""
-    own = F.struct(F.xxhash64("row", F.lit(nth)).alias("h"), F.col("row").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    centre = buckets.groupBy("bucket").agg(F.min(own).alias("own")).select("bucket", "own.*")
-    met = buckets.join(centre, "bucket").where((F.col("ra") != F.col("root")) & _near("sa", "size", percent))
-    return met.select("a", F.col("row").alias("b")).distinct()
+    hashed = buckets.withColumn("h", F.xxhash64("row", F.lit(nth)))
+    centre = hashed.join(hashed.groupBy("bucket").agg(F.min("h").alias("h")), ["bucket", "h"])
+    centre = centre.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("row", "root", "size", "odd")))
+    met = buckets.join(centre, "bucket").where((F.col("c_root") != F.col("root")) & _may("c_", "", percent))
+    return met.select(F.col("c_row").alias("a"), F.col("row").alias("b")).distinct()
 
 
 def all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
@@ -148,11 +202,13 @@ def all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     themselves, so one of each pair is not of that root.
     """
     counted = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    major = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top")).select("bucket", F.col("top.root").alias("major"))
-    few = buckets.join(major, "bucket").where("root <> major").toDF("bucket", "a", "sa", "ra", "major")
-    once = (F.col("root") == F.col("major")) | (F.col("a") < F.col("row"))
-    met = few.join(buckets, "bucket").where((F.col("ra") != F.col("root")) & once & _near("sa", "size", percent))
-    return met.select("a", F.col("row").alias("b")).distinct()
+    major = counted.groupBy("bucket").agg(F.max_by("root", "n").alias("major"))
+    few = buckets.join(major, "bucket").where("root <> major")
+    few = few.select("bucket", "major", *(F.col(c).alias(f"c_{c}") for c in ("row", "root", "size", "lanes", "odd")))
+    once = (F.col("root") == F.col("major")) | (F.col("c_row") < F.col("row"))
+    may = (F.col("c_root") != F.col("root")) & once & _may("c_", "", percent) & _is_first("c_", "")
+    met = few.join(buckets, "bucket").where(may)
+    return met.select(F.col("c_row").alias("a"), F.col("row").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -199,15 +255,16 @@ def minhash_components(docs: DataFrame, width: int = 4, percent: int = 80) -> Da
     ids = stored(signatures(numbered, width), "signatures")
     worded = ids.where("size > 0")
     sets = stored(worded.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "sets")
-    entries = ids.join(sets.select("row"), "row", "left_semi").select("row", "size", "keys")
-    buckets = stored(tables(entries).select("bucket", "row", "size"), "buckets")
-    roots = sets.select("row", "row").limit(0).toDF("node", "root")
+    entries = stored(ids.join(sets.select("row"), "row", "left_semi").select("row", "size", "keys", "lanes", "odd"), "entries")
+    roots = entries.select("row", F.col("row").alias("root")).limit(0)
     for nth in range(STARS + 1):
-        left = _open(buckets, roots).select("bucket", "row", "size", "root")
-        met = star_pairs(left, nth, percent) if nth < STARS else all_pairs(left, percent)
+        rooted = entries.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        met = first_tables(rooted) if nth < STARS else all_tables(rooted)
+        buckets = stored(met.join(entries.drop("keys") if nth == STARS else entries.drop("keys", "lanes"), "row"), "buckets")
+        met = star_pairs(buckets, nth, percent) if nth < STARS else all_pairs(buckets, percent)
         links = stored(confirmed(stored(met, "candidates"), texts, width, percent), "links")
-        roots = stored(components(links.union(roots.toDF("a", "b"))), "roots")
-    rooted = sets.join(roots.toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        roots = stored(components(links.union(roots.toDF("a", "b"))).toDF("row", "root"), "roots")
+    rooted = sets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = rooted.join(least, "root").select("same", "component_id")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

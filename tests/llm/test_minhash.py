@@ -96,7 +96,33 @@ def test_tables_miss_no_pair_of_the_similarity(spark):
         return (same[:, : minhash.SIDE].any(1) & same[:, minhash.SIDE :].any(1)).mean()
 
     assert meeting(80, 10) == 1
-    assert meeting(4, 46) < 0.02
+    assert meeting(20, 40) < 0.01
+
+
+def test_parities_bound_the_difference():
+    """No pair is refused for fewer shingles than differ."""
+    rng = np.random.default_rng(4)
+    for shared, one, two in [(0, 1, 1), (50, 0, 0), (100, 13, 12), (300, 40, 35), (2000, 200, 240), (5, 900, 0)]:
+        h = rng.integers(0, 1 << 63, shared + one + two, dtype=np.uint64)
+        a, b = (np.array(minhash.parities(x)).view(np.uint64) for x in (h[: shared + one], np.concatenate((h[:shared], h[shared + one :]))))
+        assert np.bitwise_count(a ^ b).sum() <= one + two
+
+
+def test_a_pair_counts_in_its_first_tables(spark):
+    """Wherever keys are equal, the first table of both collections is among those that count, and few others are."""
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 1 << 63, (300, 2 * minhash.SIDE), dtype=np.uint64)
+    two = np.where(rng.random(one.shape) < 0.45, one, rng.integers(0, 1 << 63, one.shape, dtype=np.uint64))
+    rows, want = [], []
+    for k, (a, b, x, y) in enumerate(zip(one, two, minhash.lanes(one), minhash.lanes(two), strict=True)):
+        same = [np.flatnonzero((a == b)[: minhash.SIDE]), np.flatnonzero((a == b)[minhash.SIDE :])]
+        rows += [(k, int(i), int(j), x.tolist(), y.tolist()) for i in same[0] for j in same[1]]
+        if len(same[0]) and len(same[1]):
+            want.append((k, same[0][0], same[1][0]))
+    df = spark.createDataFrame(rows, "k int, i int, j int, c_lanes array<bigint>, lanes array<bigint>")
+    got = {tuple(r) for r in df.where(minhash._is_first("c_", "")).select("k", "i", "j").collect()}
+    assert set(want) <= got
+    assert max(sum(g[0] == k for g in got) for k in range(300)) == minhash.FIRST**2 < len(rows) / 300
 
 
 EDGES = [

@@ -13,6 +13,7 @@ messages there are, so a report reads neither the messages nor their history.
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ _STATE = StructType(
     + [StructField(n, LongType()) for n in ("first_partition", "first_tie", "last_partition", "last_tie")]
 )
 
+_VALUES = ["create_time", "out_time", "_partition", "_tie"]
+_NAMES = pd.Index(CHANGES.names)
+
 
 def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The fold of one message's deliveries into its state, as of ``operators.fold``."""
@@ -50,10 +54,8 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     first = (was[4], *ties[:2]) if was else None
     last = (last_out, *ties[2:]) if was else None
     for rows in batches:
-        for created, out, partition, tie in zip(
-            *(rows[c].tolist() for c in ("create_time", "out_time", "_partition", "_tie")), strict=True
-        ):
-            at = (out, partition, tie)
+        for created, out, *position in zip(*(rows[c].tolist() for c in _VALUES), strict=True):
+            at = (out, *position)
             n += 1
             if first is None or at < first:
                 first, event = at, created
@@ -61,7 +63,10 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
                 last, latency = at, out - created
     now = (event, last[0], latency, n, first[0])
     state.update((*now, *first[1:], *last[1:]))
-    yield pd.DataFrame([(*key, *now, *(was[:4] if was else (None,) * 4))], columns=CHANGES.names)
+    # One array for all columns: there is a frame for every message.
+    row = np.empty((1, len(_NAMES)), object)
+    row[0] = (*key, *now, *(was[:4] if was else (None,) * 4))
+    yield pd.DataFrame(row, columns=_NAMES)
 
 
 def changes(deliveries: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oncemore.llm.common import shared_path
+from oncemore.llm.common import shared_path, unused
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,8 @@ def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]")
 
     All columns stay; ``n_chars``, where there is one, is counted anew for changed texts.
     """
-    found = scan(docs, ledger or shared_path(docs.sparkSession, "ledger")).toDF("__sha", "__spans")
+    sha, own, changed_text = (unused(docs, n) for n in ("__sha", "__spans", "__text"))
+    found = scan(docs, ledger or shared_path(docs.sparkSession, "ledger")).toDF(sha, own)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(state: Column, span: Column) -> Column:
@@ -162,14 +163,16 @@ def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]")
     def end(state: Column) -> Column:
         return F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "__sha", "left")
-    changed = F.col("__spans").isNotNull()
-    text = F.when(changed, F.aggregate("__spans", start, step, end)).otherwise(F.col("text"))
-    new = {"text": text}
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, sha, "left")
+    changed = F.col(own).isNotNull()
+    text = F.when(changed, F.aggregate(own, start, step, end)).otherwise(F.col("text"))
+    # The new text stands beside the old one until it is counted.
+    keyed = keyed.withColumn(changed_text, text)
+    new = {"text": F.col(changed_text)}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        new["n_chars"] = F.when(changed, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
-    return keyed.withColumns(new).select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length(changed_text).cast(kind)).otherwise(F.col("n_chars"))
+    return keyed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,21 @@ def test_pages(spark):
     assert boilerplate.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_columns_of_their_own_names(spark, docs, labels, benchmark, tmp_path, name, stage):
+    """What a stage adds on the way meets columns of that name."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["__row", "__score", "__hits", "__copies", "__id", "__txt", "__sha", "__spans", "__text", "copies", "group", "keep"]
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    out = stage(spark, wide, str(tmp_path))
+    assert set(out.columns) == set(wide.columns)
+    kept = out.collect()
+    assert kept and all(r[n] == n for r in kept for n in names if n != "copies" or name != "mixing")
+    if name == "mixing":
+        assert all(r["copies"] in (1, 2) for r in kept)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, docs, labels, benchmark, tmp_path, name, stage):
     labels.write.parquet(f"{tmp_path}/labels.parquet")

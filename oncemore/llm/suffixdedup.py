@@ -5,7 +5,9 @@ string with the least hash in them. Windows are therefore grouped by anchor,
 neighbouring windows with one anchor travel as one segment, and anchors that
 occur once in the corpus drop out before any text moves. A shard holds all
 segments of some anchors; its suffix array (Larsson-Sadakane) and common
-prefixes (Kasai) give the equal windows, of which the earliest stays.
+prefixes (Kasai) give the equal windows, of which the earliest stays. Where a
+shard has all segments of its anchors, windows with a hash of their own have no
+equal, and only the other stretches are sorted.
 
 An anchor with very many segments is cut into several shards. Each of those
 hands on its distinct windows, sorted, and the shards' lists are merged by
@@ -161,6 +163,8 @@ def kasai(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -
 
 def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, part and offset of every window of the (distinct) ``parts``; windows of a group are equal."""
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
     symbols = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
     # Sorted to the end of every segment: the step from one suffix to the next below needs the true order.
@@ -173,6 +177,34 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return group[whole], part[whole], (order - begins[part])[whole]
 
 
+def repeated_parts(parts: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The stretches of ``parts`` whose windows have a hash that another window has, with the number of their part and where they begin in it.
+
+    Equal windows have equal hashes, so what is left out has no equal among ``parts``.
+    """
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    n = len(raw) - length + 1
+    if n <= 0:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    part = np.searchsorted(ends, np.arange(n), side="right")
+    inside = np.flatnonzero(np.arange(n) + length <= ends[part])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers("up", _ROOT, len(raw)), out=sums[1:])
+    h = (sums[inside + length] - sums[inside]) * _powers("down", pow(_ROOT, -1, 1 << 64), len(raw))[inside]
+    order = np.argsort(h, kind="stable")
+    same = np.diff(h[order]) == 0
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = inside[twice]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(part[at]) != 0)
+    begin, stop = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + length if len(at) else at
+    whole = raw.tobytes()
+    owner = part[begin]
+    return [whole[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], owner, begin - np.concatenate(([0], ends))[owner]
+
+
 def _shard_repeats(length: int):
     """For one shard: rows of what to remove, and, of a cut anchor, rows of its distinct windows."""
 
@@ -189,7 +221,14 @@ def _shard_repeats(length: int):
                 gone_n.append(len(seg[i]) - length + 1)
         # The distinct segments are in order of place, so the least (part, offset) is the earliest window.
         rows = np.fromiter(first.values(), np.int64, len(first))
-        group, part, offset = equal_windows(list(first), length)
+        distinct, cut = list(first), table["cut"][0].as_py()
+        if cut:
+            group, part, offset = equal_windows(distinct, length)
+        else:
+            # All windows of these anchors are here: what none of them repeats need not be sorted.
+            stretches, owner, begin = repeated_parts(distinct, length)
+            group, part, offset = equal_windows(stretches, length)
+            part, offset = owner[part], offset + begin[part]
         sort = np.lexsort((offset, part, group))
         group, part, offset = group[sort], part[sort], offset[sort]
         lead = np.ones(len(group), bool)
@@ -206,7 +245,7 @@ def _shard_repeats(length: int):
         begin = start[gone_row] + gone_at
         out = [doc[gone_row], k1[gone_row], k2[gone_row], begin, begin + gone_n + length - 1]
         digest = [None] * len(gone_row)
-        if table["cut"][0].as_py():
+        if cut:
             r, o = rows[part[lead]], offset[lead]
             digest += [
                 hashlib.blake2b(seg[i][k : k + length], digest_size=16).digest() for i, k in zip(r.tolist(), o.tolist(), strict=True)

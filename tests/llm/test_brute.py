@@ -196,9 +196,17 @@ def test_model_is_a_distribution(spark):
     assert sum(10 ** got[1000 + k]["score"] for k in range(7)) < 1
 
 
+def overlaps(doc, item, shift, least=13, percent=80):
+    """Whether any run of ``least`` words or more on the diagonal has the share of equal words, by trying all."""
+    ends = range(max(0, -shift), min(len(item), len(doc) - shift) + 1)
+    upto = [0]
+    for i in ends[:-1]:
+        upto.append(upto[-1] + (doc[i + shift] == item[i]))
+    return any(100 * (upto[b] - upto[a]) >= percent * (b - a) for a in range(len(upto)) for b in range(a + least, len(upto)))
+
+
 def test_decontamination(spark, docs, texts):
     items = {r["item_id"]: words(r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()}
-    rng = np.random.default_rng(2)
     base = [r["text"] for r in texts.values()][:30]
     planted = []
     for k, (i, w) in enumerate(list(items.items())[:30]):
@@ -219,13 +227,10 @@ def test_decontamination(spark, docs, texts):
         for item, w in items.items():
             shifts = collections.Counter(k - j for j, x in enumerate(w) for k in at[x])
             for shift, same in shifts.items():
-                if same >= 0.8 * decontaminate.MIN_TOKENS:
-                    _, n, equal = decontaminate.best_overlap(np.array(doc), np.array(w), shift, decontaminate.SIMILARITY)
-                    if n >= decontaminate.MIN_TOKENS and equal >= decontaminate.SIMILARITY * n:
-                        want.add((i, item))
-    assert {x for x in want if x[0] >= 5000} <= got
-    assert got <= want and len(want - got) <= 0.02 * len(want)
-    assert rng is not None
+                if same >= 0.8 * decontaminate.MIN_TOKENS and overlaps(doc, w, shift):
+                    want.add((i, item))
+    assert len({x for x in want if x[0] >= 5000}) >= 15
+    assert got == want
 
 
 PATTERNS = [
@@ -346,6 +351,19 @@ def test_suffix_dedup(spark, docs, texts, shard):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+def test_only_repeated_windows_are_sorted():
+    """The stretches left are exactly the windows that occur twice, each at its place."""
+    rng = np.random.default_rng(9)
+    for length in (5, 40):
+        parts = [bytes(rng.choice(list(b"ab"), int(rng.integers(0, 90)))) for _ in range(30)] + [b"", b"ab" * 30, b"x" * length]
+        times = collections.Counter(p[k : k + length] for p in parts for k in range(len(p) - length + 1))
+        stretches, owner, begin = suffixdedup.repeated_parts(parts, length)
+        got = [(o, b + k) for t, o, b in zip(stretches, owner.tolist(), begin.tolist(), strict=True) for k in range(len(t) - length + 1)]
+        assert got == [(i, k) for i, p in enumerate(parts) for k in range(len(p) - length + 1) if times[p[k : k + length]] > 1]
+        assert all(parts[o][b : b + len(t)] == t for t, o, b in zip(stretches, owner.tolist(), begin.tolist(), strict=True))
+    assert [len(x) for x in suffixdedup.repeated_parts([], 100)] == [len(x) for x in suffixdedup.repeated_parts([b"ab"], 100)] == [0, 0, 0]
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(4)
     parts = [bytes(rng.choice(list(b"ab\x00"), n).astype(np.uint8)) for n in (0, 1, 40, 40, 90)] + [b"ab" * 30] * 2
@@ -447,6 +465,21 @@ def test_pages_without_an_article(spark, shard_words):
     assert got == {**{k: f"{t} é x" for k, t in unique.items()}, 100: unique[0], 101: unique[0]}
 
 
+def test_articles_that_are_none(spark):
+    """A comment or a teaser in an article element is not the main text; an article beside a menu is, and so are several long ones."""
+    story = " ".join(f"word{k}" for k in range(60))
+    rows = [
+        (1, f"<div>{story}</div><section class=comments><article>nice comment here</article></section>", story),
+        (2, f"<article>one teaser</article><article>another teaser</article><div>{story}</div>", story),
+        (3, f"<div>a menu that nobody names</div><article>{story}</article>", story),
+        (4, f"<article>{story}</article><p>beside</p><article>two {story}</article>", f"{story} two {story}"),
+        (5, f"<main><article>{story}</article><article>inner</article></main><p>{story}", f"{story} inner"),
+        (6, "<div class=comments><article>only a comment</article></div>", ""),
+    ]
+    pages = spark.createDataFrame([(k, f"http://h{k}.example/", h) for k, h, _ in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in boilerplate.extract(pages).collect()} == {k: t for k, _, t in rows}
+
+
 def test_pipeline(spark):
     """The run is its stages one after the other, and each decision takes effect."""
     out = corpus_pipeline.run(spark, DATA)

@@ -231,6 +231,8 @@ def id_hashes(ends: DataFrame) -> DataFrame:
 def with_parents(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rows`` with the owner of the node (``depth`` - 1, ``p1``, ``p2``) as ``parent_conv_id``, null for the root.
 
+    What follows a single prefix (``p_single``) is its own conversation's, also where the sketch lets it through.
+
     Of a parent with very many children every task looks up a share, by a hash of the child.
     """
     up = {"up": F.col("depth") - 1, "salt": F.pmod(F.xxhash64("conv_id"), F.lit(COPIES))}
@@ -238,7 +240,8 @@ def with_parents(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     key = ["up", "p1", "p2"]
     owners = nodes.select(*NODE, "conv_id").toDF(*key, "parent_conv_id")
     known = spread.select(*key, "salt").distinct().join(owners, key)
-    return spread.join(known, [*key, "salt"], "left").drop("up", "salt")
+    found = spread.join(known, [*key, "salt"], "left").drop("up", "salt")
+    return found.withColumn("parent_conv_id", F.when(F.col("p_single"), F.col("conv_id")).otherwise(F.col("parent_conv_id")))
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -261,6 +264,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         F.count("*").alias("n_convs"),
         F.max("p1").alias("p1"),
         F.max("p2").alias("p2"),
+        F.max("p_single").alias("p_single"),
         F.max("chars").alias("chars"),
         F.count_if(last).alias("n_ends"),
     )
@@ -299,7 +303,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     })
     figures = ["n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     columns = ["conv_id", "depth", "parent_conv_id", *figures]
-    tops = ["conv_id", "depth", "p1", "p2", *figures]
+    tops = ["conv_id", "depth", "p1", "p2", "p_single", *figures]
     inner = alone.where("p_single").withColumn("parent_conv_id", F.col("conv_id")).select(columns)
     rest = known.select(tops).union(alone.where("NOT p_single").select(tops))
     return inner.union(with_parents(rest, nodes).select(columns))

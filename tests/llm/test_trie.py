@@ -145,3 +145,13 @@ def test_edges(spark):
     assert found(trie.conversation_trie(df)) == plain_version(heads_replaced(fixed))
     assert trie.conversation_trie(df.limit(0)).count() == 0
     assert trie.conversation_trie(df.where("conv_id IS NULL")).count() == 0
+
+
+def test_a_sketch_with_collisions_changes_nothing(spark, branching, monkeypatch):
+    """A prefix that it lets through may follow one that it calls single."""
+    turns, convs = trie.rebuilt(trie.numbered(spark.createDataFrame(branching, SCHEMA)))
+    want = found(trie.prefix_trie(turns, convs))
+    exact = trie.lone_cells
+    some = np.random.default_rng(5)
+    monkeypatch.setattr(trie, "lone_cells", lambda rows, width: exact(rows, width) & (some.random(trie.ROWS * width) < 0.2))
+    assert found(trie.prefix_trie(turns, convs)) == want

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from oncemore.functions.columns import second_of
 from oncemore.operators.fold import KEY
@@ -37,36 +37,64 @@ from oncemore.streaming.state import (
     write_batch,
 )
 
-# What is kept of a message: its figures, and the order of its first and last delivery.
-_STATE = StructType(
-    [StructField(n, LongType()) for n in ("event_time", "out_time", "latency", "process_count", "first_out_time")]
-    + [StructField(n, LongType()) for n in ("first_partition", "first_tie", "last_partition", "last_tie")]
-)
+#: Groups of messages of a job, by a hash of the id, that are folded together: one call of Python and one row of
+#: state each. A batch writes anew the state of the groups that it meets. A checkpoint holds for one number of groups.
+GROUPS = 256
+
+# What is kept of a message: its figures, and the order of its first and last delivery. A group's messages are
+# the rows of an array of these columns, in order of their ids.
+_KEPT = ("msg_id", "event_time", "out_time", "latency", "process_count", "first_out_time")
+_KEPT += ("first_partition", "first_tie", "last_partition", "last_tie")
+_AT = {c: k for k, c in enumerate(_KEPT)}
+_OF_FIRST = [_AT[c] for c in ("event_time", "first_out_time", "first_partition", "first_tie")]
+_STATE = StructType([StructField("rows", BinaryType())])
+
+_VALUES = ["msg_id", "create_time", "out_time", "_partition", "_tie"]
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """One row (``_KEPT``) per message of several parts of its deliveries, each of them folded."""
+
+    def ordered(*by: str) -> np.ndarray:
+        return np.lexsort([rows[:, _AT[c]] for c in (*by, "msg_id")])
 
-_VALUES = ["create_time", "out_time", "_partition", "_tie"]
-_NAMES = pd.Index(CHANGES.names)
+    up = ordered("first_tie", "first_partition", "first_out_time")
+    ids = rows[up, 0]
+    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    ends = np.concatenate((starts[1:], [len(ids)])) - 1
+    out = rows[ordered("last_tie", "last_partition", "out_time")[ends]]
+    out[:, _OF_FIRST] = rows[np.ix_(up[starts], _OF_FIRST)]
+    n = _AT["process_count"]
+    out[:, n] = np.add.reduceat(rows[up, n], starts)
+    return out
 
 
 def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The fold of one message's deliveries into its state, as of ``operators.fold``."""
-    was = state.get if state.exists else None
-    event, last_out, latency, n, _, *ties = was or (None, None, None, 0, None, None, None, None, None)
-    first = (was[4], *ties[:2]) if was else None
-    last = (last_out, *ties[2:]) if was else None
-    for rows in batches:
-        for created, out, *position in zip(*(rows[c].tolist() for c in _VALUES), strict=True):
-            at = (out, *position)
-            n += 1
-            if first is None or at < first:
-                first, event = at, created
-            if last is None or at > last:
-                last, latency = at, out - created
-    now = (event, last[0], latency, n, first[0])
-    state.update((*now, *first[1:], *last[1:]))
-    # One array for all columns: there is a frame for every message.
-    row = np.empty((1, len(_NAMES)), object)
-    row[0] = (*key, *now, *(was[:4] if was else (None,) * 4))
-    yield pd.DataFrame(row, columns=_NAMES)
+    """The fold of a group's deliveries into its state, as of ``operators.fold``; a row for every message that has some."""
+    new = np.zeros((0, len(_KEPT)), np.int64)
+    for part in batches:
+        if not len(part):
+            continue
+        msg, created, out, partition, tie = (part[c].to_numpy(np.int64) for c in _VALUES)
+        one = np.ones_like(msg)
+        rows = np.stack([msg, created, out, out - created, one, out, partition, tie, partition, tie], axis=1)
+        new = _folded(np.concatenate((new, rows)))
+    old = np.frombuffer(state.get[0], np.int64).reshape(-1, len(_KEPT)) if state.exists else new[:0]
+    every = _folded(np.concatenate((old, new)))
+    state.update((every.tobytes(),))
+    now = every[np.searchsorted(every[:, 0], new[:, 0])]
+    place = np.searchsorted(old[:, 0], new[:, 0])
+    known = place < len(old)
+    known[known] = old[place[known], 0] == new[known, 0]
+    was = np.zeros_like(new)
+    was[known] = old[place[known]]
+    columns = {"job_type": pd.Series([key[0]] * len(new), dtype=object)}
+    for c in CHANGES.names[1:]:
+        if c.startswith("was_"):
+            columns[c] = pd.arrays.IntegerArray(was[:, _AT[c.removeprefix("was_")]].copy(), ~known)
+        else:
+            columns[c] = now[:, _AT[c]]
+    yield pd.DataFrame(columns)
 
 
 def changes(deliveries: DataFrame) -> DataFrame:
@@ -74,7 +102,7 @@ def changes(deliveries: DataFrame) -> DataFrame:
 
     Columns: those of the metrics, and ``was_event_time``, ``was_out_time``,
     ``was_latency`` and ``was_process_count``, null for a new message. Update mode.
-    A missing number counts as 0, as in messages.
+    A missing number counts as 0, as in messages. Messages are folded in ``GROUPS``.
     """
     position = {"partition", "offset"} <= set(deliveries.columns)
     tie = {
@@ -82,7 +110,8 @@ def changes(deliveries: DataFrame) -> DataFrame:
         "_tie": F.col("offset") if position else F.col("create_time"),
     }
     rows = deliveries.select(*KEY, "create_time", "out_time", *[c.alias(n) for n, c in tie.items()]).fillna(0)
-    return rows.groupBy(*KEY).applyInPandasWithState(
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("msg_id"), F.lit(GROUPS)))
+    return rows.groupBy("job_type", "_group").applyInPandasWithState(
         _fold_group, CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout
     )
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,33 @@ def test_missing_numbers_count_as_zero(spark, dealt, tmp_path):
 def test_no_counts_no_figures(spark):
     empty = spark.createDataFrame([], counts.COUNTS)
     assert counts.snapshot_of_counts(empty, "x").count() == 0
+
+
+def test_messages_are_folded_in_groups():
+    """One call for many messages, and every part of its deliveries at once."""
+    rng = random.Random(7)
+    seen, state_ = {}, FakeState()
+    for n in range(4):
+        data = [[rng.randint(1, 30), rng.randint(0, 9), rng.randint(1, 5), rng.randint(0, 1), 50 * n + k] for k in range(50)]
+        parts = [pd.DataFrame(data[k : k + 20], columns=counts._VALUES) for k in range(0, 50, 20)]
+        was = {m: folded_plainly(d) for m, d in seen.items()}
+        for m, *rest in data:
+            seen.setdefault(m, []).append((rest[1], rest[2], rest[3], rest[0]))
+        got = pd.concat(counts._fold_group(("a", 3), iter(parts), state_))
+        assert list(got.columns) == CHANGES.names and set(got.msg_id) == {r[0] for r in data}
+        for r in got.astype(object).where(got.notna(), None).itertuples(index=False):
+            assert tuple(r[2:7]) == folded_plainly(seen[r.msg_id])
+            assert tuple(r[7:]) == (was[r.msg_id][:4] if r.msg_id in was else (None,) * 4)
+
+
+class FakeState:
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def folded_plainly(deliveries):
+    """Event time, out time, latency, count and first out time of (out, partition, tie, created)."""
+    first, last = min(deliveries, key=lambda d: d[:3]), max(deliveries, key=lambda d: d[:3])
+    return first[3], last[0], last[0] - last[3], len(deliveries), first[0]

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,9 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
-#: Labelled documents learned from, at most; those with the smallest hash of their id.
-MAX_LABELLED = 8_000
-#: A toxic word occurs in toxic documents so many times as often as in others, in this share of them, and in three.
-LIFT, SUPPORT, LEAST = 10.0, 0.05, 3
+#: A toxic word occurs in toxic documents so many times as often as in others; and in this share of them and in three,
+#: or so often that of all words this many, at most, would by chance.
+LIFT, SUPPORT, LEAST, CHANCE = 10.0, 0.05, 3, 0.01
 #: Toxic words kept, at most; and other words of the corpus, those of at least so many kinds of text.
 MAX_WORDS, MAX_KNOWN, KNOWN = 1_000, 50_000, 2
 #: Tokens that a task keeps in mind, at most.
@@ -199,43 +198,43 @@ def _single(word: str) -> str:
     return _REPEAT.sub(r"\1", word)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_labelled: int = MAX_LABELLED) -> Model:
-    """The model from labelled documents, with ``held_out`` only from those whose crc32 of the id is not 1 modulo 3.
+def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
+    """The model from all labelled documents, with ``held_out`` only from those whose crc32 of the id is not 1 modulo 3.
 
     Words are counted once per kind of text: of near copies (same smallest
-    hash of three words) all but one are ignored.
+    hash of three words) all but one are ignored. The joins sort: labels grow with the texts.
     """
-    labelled = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if held_out:
         labelled = labelled.where(remainder("doc_id", 3) != 1)
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    # Broadcast: max_labelled rows of two numbers.
-    sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = stored(sample.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(labelled.hint("merge"), "doc_id")
+
+    def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            kinds = [_kind(t) for t in part.column("text").to_pylist()]
+            yield part.append_column("kind", pa.array(kinds, pa.int64()))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             words, of = [], []
-            texts = part.column("text").to_pylist()
-            kinds = [_kind(t) for t in texts]
-            for k, text in enumerate(texts):
+            for k, text in enumerate(part.column("text").to_pylist()):
                 own = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
                 words.extend(own)
                 of.extend([k] * len(own))
-            at = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(kinds, pa.int64()).take(at), part.column("toxic").take(at)],
-                ["word", "kind", "toxic"],
-            )
-
-    each = sample.mapInArrow(words_of, "word string, kind bigint, toxic int")
-    once = stored(each.groupBy("word", "toxic").agg(F.count_distinct("kind").alias("n")), "words")
-    totals = dict(each.groupBy("toxic").agg(F.count_distinct("kind")).collect())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), part.column("toxic").take(pa.array(of, pa.int32()))], ["word", "toxic"])
+
+    kinds = sample.select("text", "toxic").mapInArrow(kinds_of, "text string, toxic int, kind bigint")
+    sample = stored(kinds.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    first = stored(sample.groupBy("kind", "toxic").agg(F.min("row").alias("row")), "kinds")
+    each = sample.join(first.select("row").hint("merge"), "row", "left_semi").select("text", "toxic").mapInArrow(words_of, "word string, toxic int")
+    once = stored(each.groupBy("word", "toxic").agg(F.count("*").alias("n")), "words")
+    totals = dict(first.groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
     count = {y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)) for y in (0, 1)}
     table = once.groupBy("word").agg(count[1].alias("bad"), count[0].alias("good"))
     lift = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
-    toxic = table.withColumn("lift", lift).where((lift >= LIFT) & (F.col("bad") >= max(LEAST, SUPPORT * bad)))
+    often = F.col("bad") >= max(LEAST, SUPPORT * bad)
+    toxic = table.where((lift >= LIFT) & (often | (_evidence((bad + 1) / (bad + good + 2)) >= math.log(max(table.count(), 1) / CHANCE))))
     words = [r["word"] for r in toxic.orderBy(F.desc("bad"), "word").limit(MAX_WORDS).collect()]
     model = Model(words, _char_model(once, words))
     often = once.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN)
@@ -259,6 +258,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_labelle
     return model
 
 
+def _evidence(share: float) -> Column:
+    """Minus the log of a bound on the chance that of ``bad`` + ``good`` texts that many are ``bad``, where each is with probability ``share``."""
+    n = F.col("bad") + F.col("good")
+    parts = ((F.col(c), p) for c, p in (("bad", share), ("good", 1 - share)))
+    return sum((F.when(c > 0, c * F.log(c / (n * p))).otherwise(0.0) for c, p in parts), F.lit(0.0))
+
+
 def _kind(text: str) -> int:
     h, _ = word_hashes([text.encode()])
     if len(h) < 3:

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from oncemore.llm import toxicity
 
@@ -79,3 +81,22 @@ def test_long_text_and_many_tokens(scorer, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_CACHED", 50)
     text = " ".join(f"w{k} word{k}" for k in range(20_000)) + " st.u.pid " + "z" * 200_000
     assert scorer.hits(text) == 1 == scorer.hits(text)
+
+
+def test_forms_that_are_rare_each(spark):
+    """Each form of a toxic word is in 4 % of the toxic documents; of the other words, some are in toxic ones only."""
+    rng = random.Random(4)
+    forms = [f"{stem}{end}" for stem in ("lowei", "vequ") for end in ("sse", "and", "ero", "mo", "ta", "isp", "ais", "eur", "ent", "ung", "ich", "art", "ien")]
+    rows = [(k, [f"own{k}", f"pair{k // 2}", *rng.sample(PLAIN, 9), *([forms[k // 4 % 26]] if k % 4 == 0 else [])]) for k in range(2600)]
+    docs = spark.createDataFrame([(k, " ".join(rng.sample(t, len(t)))) for k, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(2600)], "doc_id long, toxic int")
+    assert set(toxicity.learn(docs, labels, held_out=False).words) == set(forms)
+
+
+def test_every_labelled_document_counts(spark):
+    ids = spark.range(9_000).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("nth"))
+    words = F.when(F.col("nth") > 8_000, "zork").otherwise("fine")
+    docs = ids.select("doc_id", "nth", F.concat_ws(" ", F.lit("we see"), words, F.concat(F.lit("n"), "doc_id")).alias("text")).cache()
+    labels = docs.select("doc_id", (F.col("nth") > 8_000).cast("int").alias("toxic"))
+    model = toxicity.learn(docs.select("doc_id", "text"), labels, held_out=False)
+    assert model.words == ["zork"] and model.rates[1] > 1000 / 1003

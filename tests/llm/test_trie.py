@@ -155,3 +155,24 @@ def test_a_sketch_with_collisions_changes_nothing(spark, branching, monkeypatch)
     some = np.random.default_rng(5)
     monkeypatch.setattr(trie, "lone_cells", lambda rows, width: exact(rows, width) & (some.random(trie.ROWS * width) < 0.2))
     assert found(trie.prefix_trie(turns, convs)) == want
+
+
+def test_sketch_comes_in_one_job(spark):
+    """Whatever the number of partitions; and its bits say which cells count one."""
+    rows = spark.range(5000).selectExpr("id % 3000 AS x1", "(id % 3000) * 7 AS x2").repartition(5)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("sketch", "sketch")
+        lone = trie.lone_cells(rows, trie.LEAST_CELLS)
+        assert len(context.statusTracker().getJobIdsForGroup("sketch")) < 10
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    x = np.array([i % 3000 for i in range(5000)], np.int64)
+    cells = trie._cells(x, x * 7, trie.LEAST_CELLS)
+    assert (lone == (np.bincount(cells.ravel(), minlength=len(lone)) == 1)).all()

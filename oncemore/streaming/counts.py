@@ -54,6 +54,8 @@ _VALUES = ["msg_id", "create_time", "out_time", "_partition", "_tie"]
 
 def _folded(rows: np.ndarray) -> np.ndarray:
     """One row (``_KEPT``) per message of several parts of its deliveries, each of them folded."""
+    if not len(rows):
+        return rows
 
     def ordered(*by: str) -> np.ndarray:
         return np.lexsort([rows[:, _AT[c]] for c in (*by, "msg_id")])
@@ -80,14 +82,17 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         rows = np.stack([msg, created, out, out - created, one, out, partition, tie, partition, tie], axis=1)
         new = _folded(np.concatenate((new, rows)))
     old = np.frombuffer(state.get[0], np.int64).reshape(-1, len(_KEPT)) if state.exists else new[:0]
-    every = _folded(np.concatenate((old, new)))
-    state.update((every.tobytes(),))
-    now = every[np.searchsorted(every[:, 0], new[:, 0])]
     place = np.searchsorted(old[:, 0], new[:, 0])
     known = place < len(old)
     known[known] = old[place[known], 0] == new[known, 0]
     was = np.zeros_like(new)
     was[known] = old[place[known]]
+    # Only rows of messages that came again are folded; all others stay as they are, and new ones go between them.
+    now = new.copy()
+    now[known] = _folded(np.concatenate((was[known], new[known])))
+    every = old.copy()
+    every[place[known]] = now[known]
+    state.update((np.insert(every, place[~known], now[~known], axis=0).tobytes(),))
     columns = {"job_type": pd.Series([key[0]] * len(new), dtype=object)}
     for c in CHANGES.names[1:]:
         if c.startswith("was_"):

@@ -146,3 +146,21 @@ def folded_plainly(deliveries):
     """Event time, out time, latency, count and first out time of (out, partition, tie, created)."""
     first, last = min(deliveries, key=lambda d: d[:3]), max(deliveries, key=lambda d: d[:3])
     return first[3], last[0], last[0] - last[3], len(deliveries), first[0]
+
+
+def test_only_messages_that_came_again_are_folded_anew(monkeypatch):
+    """Others keep their rows: a batch's folding does not grow with the messages of its groups."""
+    state_, sizes, fold_rows = FakeState(), [], counts._folded
+    monkeypatch.setattr(counts, "_folded", lambda rows: sizes.append(len(rows)) or fold_rows(rows))
+
+    def put(ids, out):
+        part = pd.DataFrame([[m, 0, out, 0, 0] for m in ids], columns=counts._VALUES)
+        return pd.concat(counts._fold_group(("a", 3), iter([part]), state_))
+
+    put(range(0, 2000, 2), 10)
+    sizes.clear()
+    got = put([1, 4, 5000, -3], 20)
+    assert max(sizes) <= 4
+    assert dict(zip(got.msg_id, got.process_count)) == {-3: 1, 1: 1, 4: 2, 5000: 1}
+    again = put(range(-3, 2000), 30)
+    assert list(again.process_count) == [2, *[1] * 2, *[3 if m == 4 else 2 if m % 2 == 0 or m == 1 else 1 for m in range(2000)]]

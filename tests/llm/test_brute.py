@@ -586,3 +586,37 @@ def test_masks_miss_no_overlap():
             for shift in range(length - len(mask) + 1):
                 met |= odd & (int(mask, 2) << shift) == 0
         assert met.all()
+
+
+def test_balls_join_all_near_fingerprints(spark):
+    """Between groups, all pairs of groups that differ in 15 of 256 bits or fewer; within one none; none beyond the distance."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = rng.integers(-(2**63), 2**63 - 1, 4)
+        for _ in range(5):
+            fp = base.copy()
+            for bit in rng.choice(256, rng.integers(0, 12), replace=False):
+                fp[bit // 64] ^= np.int64(np.uint64(1 << int(bit) % 64).view(np.int64))
+            rows.append((len(rows), [int(x) for x in fp]))
+    # Two rows of every five are one group.
+    roots = {r: r - 1 if r % 5 == 1 else r for r, _ in rows}
+    frame = spark.createDataFrame([(r, roots[r], fp) for r, fp in rows], "row long, root long, fp array<long>").repartition(4)
+    far = {(a, b): sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(f, g, strict=True)) for (a, f), (b, g) in itertools.combinations(rows, 2)}
+    got = {(r["a"], r["b"]) for r in simhash.ball_links(frame, 20, 4, 2, 1).collect()}
+    assert all(far[p] <= 20 and roots[p[0]] != roots[p[1]] for p in got)
+    groups = {tuple(sorted((roots[a], roots[b]))) for a, b in got}
+    near = {tuple(sorted((roots[a], roots[b]))) for (a, b), n in far.items() if n <= 15 and roots[a] != roots[b]}
+    assert len(near) > 100 and near <= groups
+
+
+def test_near_duplicates_walk_balls(spark, monkeypatch):
+    """The pairs that the balls find are links, also where the exact search finds none."""
+    rng = np.random.default_rng(9)
+    text = list(rng.choice([f"w{k}" for k in range(3000)], 400))
+    rows = [(k, k, " ".join([*text[: 60 * k], "other", *text[60 * k + 1 :]])) for k in range(6)]
+    docs = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "prefix_links", lambda sets, similarity: none)
+    monkeypatch.setattr(simhash, "star_links", lambda *of: none)
+    assert [r["row"] for r in simhash.near_duplicates(docs).where("keep").collect()] == [0]

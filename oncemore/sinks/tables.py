@@ -13,8 +13,9 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> Non
     """Store folded metrics by ``job_type``, so that a job filter reads only its
     own files, and within a job by ``first_out_time``, so that a filter on time
     passes over the files and row groups of other times. The ranges over both
-    split the few, uneven jobs into even files."""
-    order = ("job_type", "first_out_time")
+    split the few, uneven jobs into even files. Metrics without that column
+    (of a source that has no first times) are in the order of ``out_time``."""
+    order = ("job_type", "first_out_time" if "first_out_time" in metrics.columns else "out_time")
     (
         metrics.repartitionByRange(*order)
         .sortWithinPartitions(*order)

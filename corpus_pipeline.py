@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oncemore.llm.common import shared_path, unused
+from oncemore.llm.common import perhaps_in, shared_path, stored, unused
 from oncemore.llm.decontaminate import contaminated
 from oncemore.llm.mixing import mixture
 from oncemore.llm.secrets import redacted
@@ -41,8 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = unused(docs, "__row")
     rows = _numbered(spark, docs, row)
     groups = near_duplicates(rows.select(F.col(row).alias("row"), "doc_id", "text"))
-    kept = groups.where("keep").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").select(docs.columns)
+    gone = stored(groups.where(~F.col("keep")).select(F.col("row").alias(row)), "gone")
+    # Only rows that may go travel to the join.
+    doubtful = perhaps_in(row, gone)
+    kept = rows.where(~doubtful).union(rows.where(doubtful).join(gone, row, "left_anti").select(rows.columns))
+    return kept.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oncemore.llm.common import as_bytes, chunks, mixed, stored, word_hashes
+from oncemore.llm.common import as_bytes, chunks, filter_of, in_filter, mixed, stored, word_hashes
 
 #: Masks of seven words. Every run of 13 words or more of which four fifths are equal has one of them, wherever the
 #: others are: all ways for 2 others in 13 words, 3 in 15, 4 in 20 and 5 in 25 are covered, and a longer run has such a part.
@@ -30,7 +30,6 @@ MASKS = ("11101111", "11010010111", "111110011", "101100010111", "111010001011",
 MIN_TOKENS = 13
 #: ... of which as large a share is equal.
 SIMILARITY = 0.8
-FILTER_WORDS = 1 << 20
 
 
 def seeds(hashes: np.ndarray, ends: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def _seeded(df: DataFrame, key: str, masks: tuple[str, ...], filter_bits=None) -
             for m, mask in enumerate(masks):
                 h, text, at = seeds(hashes, ends, mask)
                 if bits is not None:
-                    ok = np.flatnonzero(_in_filter(bits, h))
+                    ok = np.flatnonzero(in_filter(bits, h))
                     h, text, at = h[ok], text[ok], at[ok]
                 found.append((h, text, at, np.full(len(h), m)))
             h, text, at, m = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -96,35 +95,6 @@ def _seeded(df: DataFrame, key: str, masks: tuple[str, ...], filter_bits=None) -
     return df.select(key, "text", F.xxhash64("text").alias("txt")).mapInArrow(of, schema)
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.uint64(FILTER_WORDS * 64 - 1)
-    return h & size, (h >> np.uint64(32)) & size
-
-
-def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one = np.uint64(1)
-    a, b = _places(h)
-    ok = (bits[a >> np.uint64(6)] >> (a & np.uint64(63))) & one
-    return (ok & (bits[b >> np.uint64(6)] >> (b & np.uint64(63)))).astype(bool)
-
-
-def _filter(item_seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter of all item hashes; what comes to the driver is at most its own 2**20 words."""
-    size = FILTER_WORDS * 64 - 1
-    places = item_seeds.select(
-        F.explode(
-            F.array(F.col("hash").bitwiseAND(size), F.shiftrightunsigned("hash", 32).bitwiseAND(size))
-        ).alias("p")
-    )
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")
-    )
-    got = words.toPandas()
-    bits = np.zeros(FILTER_WORDS, np.uint64)
-    bits[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
     """Start in the document, length and equal words of the longest run with document word ``shift + i`` under item word ``i``.
 
@@ -164,7 +134,7 @@ def contaminated(
     spark = docs.sparkSession
     items = stored(_seeded(benchmark, "item_id", masks), "items")
     item_seeds = items.select("row", F.explode("hits").alias("hit")).select(F.col("row").alias("item_row"), "hit.*")
-    bits = spark.sparkContext.broadcast(_filter(item_seeds))
+    bits = spark.sparkContext.broadcast(filter_of(item_seeds))
     flagged = stored(_seeded(docs, "doc_id", masks, bits), "flagged")
     doc_seeds = flagged.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     hits = doc_seeds.join(item_seeds.withColumnRenamed("pos", "item_pos"), ["mask", "hash"])

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oncemore.llm import boilerplate, decontaminate, hmm, hostrules, langid, mixing, secrets, simhash, suffixdedup, toxicity
+from oncemore.llm import boilerplate, common, decontaminate, hmm, hostrules, langid, mixing, secrets, simhash, suffixdedup, toxicity
 from tests.helpers import DATA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -620,3 +620,16 @@ def test_near_duplicates_walk_balls(spark, monkeypatch):
     monkeypatch.setattr(simhash, "prefix_links", lambda sets, similarity: none)
     monkeypatch.setattr(simhash, "star_links", lambda *of: none)
     assert [r["row"] for r in simhash.near_duplicates(docs).where("keep").collect()] == [0]
+
+
+def test_only_texts_of_pairs_travel(spark):
+    """Of 2,000 texts the three that pairs name pass the filter, with next to no other, and are compared."""
+    words = [f"w{k}" for k in range(60)]
+    own = [" ".join(f"own{k}x{j}" for j in range(30)) for k in range(2000)]
+    own[5], own[900], own[901] = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[:30])
+    texts = spark.createDataFrame(list(enumerate(own)), "row long, text string")
+    pairs = spark.createDataFrame([(5, 900), (900, 901)], "a long, b long")
+    through = {r["row"] for r in texts.where(common.perhaps_in("row", pairs.select(F.explode(F.array("a", "b"))))).collect()}
+    assert {5, 900, 901} <= through and len(through) < 10
+    assert [tuple(r) for r in simhash.similar(pairs, texts, 5, 0.8).collect()] == [(5, 900)]
+    assert texts.where(common.perhaps_in("row", pairs.limit(0).select("a"))).count() == 0

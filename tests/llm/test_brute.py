@@ -633,3 +633,27 @@ def test_only_texts_of_pairs_travel(spark):
     assert {5, 900, 901} <= through and len(through) < 10
     assert [tuple(r) for r in simhash.similar(pairs, texts, 5, 0.8).collect()] == [(5, 900)]
     assert texts.where(common.perhaps_in("row", pairs.limit(0).select("a"))).count() == 0
+
+
+@pytest.mark.parametrize("shard_words", [200_000, 60])
+def test_site_wide_blocks_in_articles(spark, shard_words):
+    """A block that nearly all articles of a host have goes; what fewer have, copies and parts of blocks stay."""
+    rng = np.random.default_rng(41)
+    notice = "get all of our stories once a week by mail and never miss one of them"
+    shared = "this sentence is in half of the articles of the host and belongs to them"
+    rows, want = [], {}
+    for k in range(20):
+        own = [" ".join(rng.choice([f"w{x}" for x in range(500)], 40)) for _ in range(2)]
+        some = [shared] if k % 2 else []
+        # The notice is missing once, and once it is a part of a longer block.
+        last = [] if k == 3 else [f"{notice} says word{k}"] if k == 4 else [notice]
+        kept = [own[0], *some, own[1], *(last if k == 4 else [])]
+        rows.append((k, "http://h.example/x", "<nav>menu</nav><article>" + "".join(f"<p>{t}</p>" for t in [own[0], *last, *some, own[1]]) + "</article>"))
+        want[k] = " ".join(kept if k != 4 else [own[0], *last, own[1]])
+    rows += [(100 + k, "http://copy.example/x", f"<article><p>{shared}</p><p>{notice}</p></article>") for k in range(12)]
+    rows += [(200 + k, "http://small.example/x", f"<article><p>{notice}</p><p>{'own ' * 30}{k}</p></article>") for k in range(5)]
+    want |= {100 + k: f"{shared} {notice}" for k in range(12)} | {200 + k: f"{notice} {'own ' * 30}{k}" for k in range(5)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r for r in boilerplate.extract(pages, shard_words).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) and r["n_repeated"] == (16 if k < 100 and k not in (3, 4) else 0) for k, r in got.items())

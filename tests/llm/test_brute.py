@@ -635,6 +635,88 @@ def test_only_texts_of_pairs_travel(spark):
     assert texts.where(common.perhaps_in("row", pairs.limit(0).select("a"))).count() == 0
 
 
+def groups_of(texts):
+    """The smallest index that each of ``texts`` reaches over pairs of a similarity of 0.8."""
+    sets, least = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = sorted((find(a), find(b)))
+            least[y] = x
+    return [find(k) for k in range(len(texts))]
+
+
+def test_a_large_group_is_not_compared_in_full(spark, monkeypatch):
+    """Variants of one text, and some too far from it: all links, with a number of candidates that follows the rows, not the pairs."""
+    rng = np.random.default_rng(23)
+    text = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+    texts = [" ".join(text)]
+    for k in range(400):
+        edits = 1 if k % 10 else 6  # Of 146 shingles some 5 differ, or 30: then it is similar to next to none.
+        own = text.copy()
+        for at in rng.choice(150, edits, replace=False):
+            own[at] = f"own{k}x{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    filtered, read, compared = [], [], []
+    real_ends, real_similar = common.filter_of, simhash.similar
+
+    def filter_of(hashes):
+        filtered.append(hashes.count())
+        return real_ends(hashes)
+
+    def similar(pairs, *others):
+        compared.append(pairs.count())
+        return real_similar(pairs, *others)
+
+    monkeypatch.setattr(common, "filter_of", filter_of)
+    monkeypatch.setattr(simhash, "similar", similar)
+    real_links = simhash.prefix_links
+
+    def prefix_links(*of):
+        out = real_links(*of)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "prefix_links", prefix_links)
+    # What the stars find in a larger group: nearly all are together, and the exact search has the others.
+    stars = spark.createDataFrame([(0, k) for k in range(1, 401) if k % 10], "a long, b long")
+    monkeypatch.setattr(simhash, "star_links", lambda *of: stars)
+    monkeypatch.setattr(simhash, "ball_links", lambda *of: stars.limit(0))
+    got = {r["row"]: r["group"] for r in simhash.near_duplicates(docs).collect()}
+    n, want = len(texts), groups_of(texts)
+    assert [got[k] for k in range(n)] == want and 20 < len(set(want)) < 60
+    assert sum(read) < 10 * n and sum(compared) < 5 * n and max(filtered) <= n
+
+
+def test_parities_refuse_no_similar_pair(spark):
+    """Against all shingles, for sets of 3 to 3,000: no similar pair goes, and most that are far from it do."""
+    rng = np.random.default_rng(24)
+    rows, pairs = [], {}
+    for k in range(300):
+        n = int(rng.choice([3, 30, 300, 3000]))
+        one = rng.integers(0, 2**63, n, dtype=np.uint64)
+        two = one.copy()
+        at = rng.choice(n, int(n * rng.uniform(0, 0.3)), replace=False)
+        two[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        for row, of in ((2 * k, one), (2 * k + 1, two)):
+            rows.append((row, n, simhash.parities(of)))
+        same = n - len(at)
+        pairs[2 * k, 2 * k + 1] = same / (2 * n - same), n
+    sets = spark.createDataFrame(rows, "row long, size int, odd array<long>")
+    got = {tuple(r) for r in simhash.possible(spark.createDataFrame(list(pairs), "a long, b long"), sets, 0.8).collect()}
+    alike = {p for p, (j, _) in pairs.items() if j >= 0.8}
+    far = {p for p, (j, n) in pairs.items() if j < 0.7 and 30 <= n <= 300}
+    assert len(alike) > 50 and alike <= got
+    assert len(far) > 20 and len(far & got) < 0.1 * len(far)
+
+
 @pytest.mark.parametrize("shard_words", [200_000, 60])
 def test_site_wide_blocks_in_articles(spark, shard_words):
     """A block that nearly all articles of a host have goes; what fewer have, copies and parts of blocks stay."""
